@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, url_filter
+from . import chat_format, exact_dedup, packing, piece_codec, simhash_dedup, url_filter
 from .shared import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary file lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -39,7 +66,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op9_url_filter": op9_url_filter, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_packing": op4_packing,
+    "op6_piece_codec": op6_piece_codec,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_filter": op9_url_filter,
+    "op10_chat_format": op10_chat_format,
+}
 
 _ESC = r"regexp_replace({}, '(\\|### |</turn>)', '\\\1', 'g')"
 ORACLE_SQL = {
