@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,18 @@ def components(links: DataFrame) -> DataFrame:
         after = keep(_small_star(_large_star(now)), "links")
         forget(now)
         now = after
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of a symmetric boolean matrix that isn't the first of its component, and that first one."""
+    n = len(linked)
+    label = np.arange(n)
+    reach = np.where(linked, np.arange(n)[None, :], n)
+    while True:
+        lower = np.minimum(label, np.where(reach < n, label[np.minimum(reach, n - 1)], n).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    member = np.flatnonzero(label != np.arange(n))
+    return member, label[member]

@@ -115,7 +115,7 @@ class MergeTable:
 class WordMemory:
     """What was made of words, the last ``most`` or more of them; older ones that no batch has asked for since go."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 1_000_000):
         self.make, self.most = make, most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

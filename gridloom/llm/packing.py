@@ -32,8 +32,8 @@ WINDOW = 1 << 20
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{_SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Letters that are one code point in any normal form and have a lower case of one, then up to eight marks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,8})")
+#: Letters that are one code point in any normal form and have a lower case of one, then up to four marks that begin no contraction.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,4})")
 
 
 def _byte_characters() -> list[str]:
@@ -74,29 +74,24 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def _made(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        plain, stems, marks, others = [], [], [], []
-        for i, w in enumerate(words):
-            if found := _PLAIN.fullmatch(w):
-                plain.append(i)
-                stems.append(found[1].lower().encode("utf-8"))
-                marks.append(found[2])
-            else:
-                others.append(i)
-        for i, ids in zip(others, self._library([words[i] for i in others])):
-            out[i] = ids
-        if plain:
-            sizes = np.fromiter(map(len, stems), dtype=np.int64, count=len(stems))
-            raw = np.frombuffer(b"".join(stems), dtype=np.uint8)
-            sym, last = self.inner[raw], np.cumsum(sizes) - 1
-            sym[last] = self.final[raw[last]]
-            flat, ends = self.table.merge(sym, sizes)
-            ids, cuts = flat.astype("<u4").tobytes(), (4 * ends).tolist()
-            new = list(set(marks).difference(self.of_marks, [""]))
-            self.of_marks.update(zip(new, self._library(new)))
-            for i, a, b, m in zip(plain, [0, *cuts], cuts, marks):
-                out[i] = ids[a:b] + self.of_marks[m] if m else ids[a:b]
-        return out
+        found = list(map(_PLAIN.fullmatch, words))
+        others = [w for w, f in zip(words, found) if f is None]
+        strange = iter(self._library(others))
+        parts = [f.groups() for f in found if f]
+        if not parts:
+            return list(strange)
+        stems, marks = zip(*parts)
+        new = list(set(marks).difference(self.of_marks))
+        self.of_marks.update(zip(new, self._library(new)))
+        stems = "\n".join(stems).lower().encode("utf-8").split(b"\n")
+        sizes = np.fromiter(map(len, stems), dtype=np.int64, count=len(stems))
+        raw = np.frombuffer(b"".join(stems), dtype=np.uint8)
+        sym, last = self.inner[raw], np.cumsum(sizes) - 1
+        sym[last] = self.final[raw[last]]
+        flat, ends = self.table.merge(sym, sizes)
+        ids, cuts = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+        made = map(bytes.__add__, [ids[a:b] for a, b in zip([0, *cuts], cuts)], map(self.of_marks.__getitem__, marks))
+        return [next(made if f else strange) for f in found] if others else list(made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -240,7 +235,7 @@ def pack_documents(
         def each():
             for batch in batches:
                 seen.append(batch.schema.field(0).type)
-                for at, size in _portions(batch.column(1), 1 << 20):
+                for at, size in _portions(batch.column(1)):
                     part = batch.slice(at, size)
                     yield from zip(part.column(0).to_pylist(), (x + end for x in own.encode(part.column(1).to_pylist())), [None] * size)
 

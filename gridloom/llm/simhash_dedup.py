@@ -8,7 +8,7 @@ one of the 20 sets of three blocks. Of the pairs that meet, those whose whole co
 discarded, and the survivors are verified bit by bit. No link is lost.
 
 Exact copies are one fingerprint before any of this. A set of equal coordinates with more than ``BLOCK`` fingerprints is compared
-block by block in separate tasks; of a set's links a spanning forest goes on, never all pairs.
+block by block in separate tasks; what a set connects goes on as one pair a fingerprint, never as all pairs.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; fewer than three words are one shingle; repeated
 rows are rows of their own with equal results; a row without id gets its component's smallest id and never lends one, and the filter
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, forest
 from .shared import keep, partitions
 
 SEED = 42
@@ -101,30 +101,15 @@ def _table(fps: np.ndarray) -> np.ndarray:
     return np.stack([_popcount(fps ^ np.uint64(r)) for r in references()], axis=1).astype(np.int8)
 
 
-def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a symmetric boolean matrix: pairs of its rows."""
-    n = len(linked)
-    label = np.arange(n)
-    reach = np.where(linked, np.arange(n)[None, :], n)
-    while True:
-        lower = np.minimum(label, np.where(reach < n, label[np.minimum(reach, n - 1)], n).min(axis=1))
-        lower = lower[lower]
-        if (lower == label).all():
-            break
-        label = lower
-    member = np.flatnonzero(label != np.arange(n))
-    return member, label[member]
-
-
 def _links_in(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of some distinct fingerprints."""
+    """Pairs that connect what the links of some distinct fingerprints connect."""
     table = _table(fps)
     near = np.ones((len(fps), len(fps)), dtype=bool)
     for j in range(table.shape[1]):
         near &= np.abs(table[:, None, j] - table[None, :, j]) <= BITS
     i, j = np.nonzero(near)
     near[i, j] = (_popcount(fps[i] ^ fps[j]) <= BITS) & (i != j)
-    a, b = _forest(near)
+    a, b = forest(near)
     return fps[a], fps[b]
 
 
