@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .flat_words import FlatMemory, Words
 from .merge_rounds import MergeTable, WordMemory
 from .piece_codec import _portions
 
@@ -35,6 +36,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Letters that are one code point in any normal form and have a lower case of one, then up to four marks that begin no contraction.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,4})")
 
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True
+
 
 def _byte_characters() -> list[str]:
     """The characters by which byte-level BPE writes bytes: printable ones by themselves, the rest from U+0100 on."""
@@ -68,6 +72,7 @@ class WordTokenizer:
         self.inner = np.array([vocab[_BYTES[b]] for b in range(256)], dtype=np.int64)
         self.final = np.array([vocab[_BYTES[b] + end] for b in range(256)], dtype=np.int64)
         self.of_words = WordMemory(self._made)
+        self.flat = FlatMemory(self._made_flat)
         self.of_marks: dict[str, bytes] = {}
 
     def _library(self, words: list[str]) -> list[bytes]:
@@ -93,10 +98,79 @@ class WordTokenizer:
         made = map(bytes.__add__, [ids[a:b] for a, b in zip([0, *cuts], cuts)], map(self.of_marks.__getitem__, marks))
         return [next(made if f else strange) for f in found] if others else list(made)
 
+    def _made_flat(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words in flat arrays: ids, and how many each word has."""
+        size = words.size[which]
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(begin, size) + np.repeat(words.start[which], size)
+        raw = words.raw[at].copy()
+        latin = np.append(False, raw[:-1] == 0xC3)  # the second byte of a letter from U+00C0 to U+00FF
+        raw[((raw >= 65) & (raw <= 90)) | (latin & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97))] += 32
+        letter = ((raw >= 97) & (raw <= 122)) | ((raw == 0xC3) & ~np.append(np.isin(raw[1:], (0x97, 0xB7)), False)) | (latin & ~np.isin(raw, (0x97, 0xB7)))
+        word = np.repeat(np.arange(len(which)), size)
+        other = np.flatnonzero(~letter)
+        stem = size.copy()
+        np.minimum.at(stem, word[other], other - begin[word[other]])
+        inside = np.arange(len(raw)) - np.repeat(begin, size)
+        mark = _MARK[raw]
+        bad = (~mark & (inside >= stem[word])) | (inside >= stem[word] + 4)
+        plain = stem > 0
+        plain[word[bad]] = False
+        ids: list[np.ndarray] = []
+        counts = np.zeros(len(which), dtype=np.int64)
+        owner: list[np.ndarray] = []
+        rows = np.flatnonzero(plain)
+        if len(rows):
+            keep = plain[word] & (inside < stem[word])
+            sym, last = self.inner[raw[keep]], np.cumsum(stem[rows]) - 1
+            sym[last] = self.final[raw[keep][last]]
+            flat, ends = self.table.merge(sym, stem[rows])
+            n = np.diff(ends, prepend=0)
+            ids.append(flat)
+            owner.append(np.repeat(rows, n))
+        rows = np.flatnonzero(plain & (stem < size))
+        tail = np.zeros((len(rows), 4), dtype=np.uint8)
+        n = (size - stem)[rows]
+        for k in range(4):
+            there = n > k
+            tail[there, k] = raw[(begin + stem)[rows[there]] + k]
+        kinds, back = np.unique(tail.view("<u4").reshape(-1), return_inverse=True)
+        for k, kind in enumerate(kinds.tolist()):
+            m = kind.to_bytes(4, "little").rstrip(b"\0").decode()
+            if m not in self.of_marks:
+                self.of_marks[m] = self._library([m])[0]
+            own, same = np.frombuffer(self.of_marks[m], "<u4"), rows[back == k]
+            ids.append(np.tile(own, len(same)))
+            owner.append(np.repeat(same, len(own)))
+        rest = np.flatnonzero(~plain)
+        texts = [words.raw[a:b].tobytes().decode("utf-8") for a, b in zip(words.start[which[rest]].tolist(), words.end[which[rest]].tolist())]
+        for i, own in zip(rest.tolist(), self._library(texts)):
+            own = np.frombuffer(own, "<u4")
+            ids.append(own)
+            owner.append(np.full(len(own), i))
+        who = np.concatenate(owner) if owner else np.empty(0, dtype=np.int64)
+        order = np.argsort(who, kind="stable")
+        counts += np.bincount(who, minlength=len(which))
+        return (np.concatenate(ids) if ids else np.empty(0, dtype=np.int64))[order], counts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        words = Words([t.encode("utf-8") for t in texts])
+        usual = np.ones(len(texts), dtype=bool)
+        usual[words.strange] = False
+        which = np.flatnonzero(usual[words.text])
+        out: list[bytes] = [b""] * len(texts)
+        if len(which):
+            ids, n = self.flat.ids_of(words, which)
+            raw = ids.astype("<u4").tobytes()
+            per_text = np.bincount(words.text[which], n, len(texts)).astype(np.int64)
+            cuts = (4 * np.cumsum(per_text)).tolist()
+            out = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        odd = np.flatnonzero(~usual).tolist()
         # str.split() also splits at the four odd characters, which are no white space to the tokenizer
-        return self.of_words([_WORDS.findall(t) if _ODD.search(t) else t.split() for t in texts])
+        for i, own in zip(odd, self.of_words([_WORDS.findall(t) if _ODD.search(t) else t.split() for t in (texts[i] for i in odd)])):
+            out[i] = own
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
