@@ -1,71 +1,13 @@
-"""What the corpus operators have in common: the shared folder, written tables, columns."""
+"""What the corpus operators have in common: written tables, columns, labels."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage: executors lost later cost no recomputation of what stands before. The table
-    goes when the process ends, or earlier by ``forget``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_forget_all, spark)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._gridloom_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables of ``keep`` that no later plan reads, and let Spark clean shuffles nobody holds."""
-    for df in tables:
-        path = df._gridloom_path
-        _delete(df.sparkSession, path)
-        _WRITTEN.remove(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of plans that are garbage; ask for that before the next large shuffle."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+from gridloom.sources.scratch import forget, keep, release_shuffles, shared_folder
 
-def _forget_all(spark: SparkSession) -> None:
-    for path in _WRITTEN:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder's owner cleans it then
-            return
+__all__ = ["forget", "keep", "release_shuffles", "shared_folder", "table", "partitions", "id_remainder", "bounded_labels"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
