@@ -36,6 +36,8 @@ SPAN, GRAM = 400, 64
 CROWD = 200
 #: Parts that a crowd is split into.
 PARTS = 8
+#: Spans that are made at once, about.
+SPANS = 200_000
 #: String starts of one text that are looked at together.
 STRETCH = 1 << 19
 
@@ -86,11 +88,16 @@ def anchors(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield grams[where].view(np.int64), where + at, first + at, np.append(first[1:], n) - 1 + at
 
 
-_ANCHOR = "t binary, h long, c1 long, c2 long, first int, lead int, width int"
+#: places: one after the other, where a portion of texts has the context: 16 bytes of t and 4 (big-endian) of the first string's start.
+_ANCHOR = "h long, c1 long, c2 long, lead int, width int, places binary"
+_PLACE = 20
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, text as bytes) in; an anchor's strings start at first .. first + width, the anchor lies at first + lead."""
+    """(t, text as bytes) in; a row for each context of a portion of texts out, so that a context many texts share is few rows.
+
+    The strings of a context start at first .. first + width, its anchor lies at first + lead.
+    """
     for batch in batches:
         for at, size in _portions(batch.column(1)):
             part = batch.slice(at, size)
@@ -102,13 +109,54 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         [xxhash.xxh3_128_digest(raw[a:b], s) for a, b, s in zip(first.tolist(), (last + SPAN).tolist(), lead.tolist())]
                     )
                     c = np.frombuffer(digests, dtype=">i8").reshape(-1, 2)
-                    found.append((h, c[:, 0], c[:, 1], first, lead, last - first))
+                    found.append((h, c[:, 0], c[:, 1], lead, last - first, first))
                     ts += [t] * len(h)
-            if ts:
-                cols = [np.concatenate(x) for x in zip(*found)]
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-                arrays = [pa.array(ts, pa.binary()), *(pa.array(c.astype(np.int64 if k == pa.int64() else np.int32), k) for c, k in zip(cols, kinds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["t", "h", "c1", "c2", "first", "lead", "width"])
+            if not ts:
+                continue
+            cols = [np.concatenate(x).astype(np.int64) for x in zip(*found)]
+            order = np.lexsort((cols[2], cols[1]))
+            cols = [c[order] for c in cols]
+            place = np.empty((len(ts), _PLACE), dtype=np.uint8)
+            place[:, :16] = np.frombuffer(b"".join(ts), dtype=np.uint8).reshape(-1, 16)[order]
+            place[:, 16:] = cols[5].astype(">i4").view(np.uint8).reshape(-1, 4)
+            starts = np.flatnonzero(np.append(True, (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
+            edges = (_PLACE * np.append(starts, len(ts))).astype(np.int32)
+            places = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(place.tobytes())])
+            arrays = [pa.array(c[starts]) for c in cols[:3]] + [pa.array(c[starts].astype(np.int32)) for c in cols[3:5]]
+            yield pa.RecordBatch.from_arrays([*arrays, places], ["h", "c1", "c2", "lead", "width", "places"])
+
+
+def _text_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, places, runs) in; (t, start, end) of the runs in each text out, each once in a portion of about SPANS."""
+    for batch in batches:
+        places = np.diff(np.frombuffer(batch.column(1).buffers()[1], dtype=np.int32)[batch.column(1).offset :][: batch.num_rows + 1]) // _PLACE
+        portion = np.cumsum(places * np.diff(batch.column(2).offsets.to_numpy())) // SPANS
+        edges = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield _spans_of(batch.slice(a, b - a))
+
+
+def _spans_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    lead = batch.column(0).to_numpy().astype(np.int64)
+    places, runs = batch.column(1), batch.column(2)
+    edges = np.frombuffer(places.buffers()[1], dtype=np.int32)[places.offset : places.offset + len(places) + 1]
+    raw = np.frombuffer(places.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]].reshape(-1, _PLACE)
+    row = np.repeat(np.arange(len(lead)), np.diff(edges) // _PLACE)
+    first = raw[:, 16:].copy().view(">i4").reshape(-1).astype(np.int64)
+    offsets = runs.offsets.to_numpy()
+    n, begin = np.diff(offsets)[row], (offsets[:-1] - offsets[0])[row]
+    flat = runs.flatten()
+    low, high = (flat.field(k).to_numpy().astype(np.int64) for k in ("from", "to"))
+    place = np.repeat(np.arange(len(row)), n)
+    which = begin[place] + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+    anchor = (first + lead[row])[place]
+    out = np.empty(len(place), dtype=[("t", "V16"), ("start", "<i8"), ("end", "<i8")])
+    out["t"] = raw[:, :16].copy().view("V16").reshape(-1)[place]
+    out["start"], out["end"] = anchor + low[which], anchor + high[which]
+    out = np.unique(out.view("V32")).view(out.dtype)
+    t = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(out), [None, pa.py_buffer(out["t"].tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([t, pa.array(out["start"].copy()), pa.array(out["end"].copy())], ["t", "start", "end"])
 
 
 _ITEM = "g long, m long, c1 long, c2 long, lead int, width int, bytes binary"
@@ -240,17 +288,32 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(_known_by(text).alias("t"), F.encode(text, "UTF-8").alias("raw"))
 
 
+def _joined(runs: Column) -> Column:
+    """Sorted runs of string starts as maximal ones; a context has few of them, though it may have as many runs as strings."""
+    kind = "array<struct<from:int,to:int>>"
+
+    def step(kept: Column, run: Column) -> Column:
+        last = F.element_at(kept, -1)
+        longer = F.struct(last["from"].alias("from"), F.greatest(last["to"], run["to"]).alias("to"))
+        meets = run["from"] <= last["to"] + 1
+        return F.when(meets, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(longer))).otherwise(F.concat(kept, F.array(run))).cast(kind)
+
+    return F.aggregate(F.slice(runs, 2, F.size(runs)), F.slice(runs, 1, 1).cast(kind), step)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t, spans): for each different text with repeats, known by t, the runs (start, end) of starts of strings that repeat, end included."""
     spark, same = docs.sparkSession, ["h", "c1", "c2"]
     everything = keep(_own(docs).where(F.octet_length("raw") >= SPAN).mapInArrow(_anchor_rows, _ANCHOR), "anchors")
-    twice = everything.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    size = F.octet_length("places") / _PLACE
+    twice = everything.groupBy("h").agg(F.sum(size).alias("n")).where("n > 1").select("h")
     found = keep(everything.join(twice, "h", "left_semi"), "repeated")
     del twice
     forget(everything)
     release_shuffles(spark)
-    classes = found.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "first", "lead", "width")).alias("one"))
-    classes = keep(classes.select(*same, "n", "one.t", "one.first", "one.lead", "one.width"), "classes")
+    classes = found.groupBy(*same, "lead", "width").agg(F.sum(size).alias("n"), F.min(F.substring("places", 1, _PLACE)).alias("one"))
+    first = F.conv(F.hex(F.substring("one", 17, 4)), 16, 10).cast("int")
+    classes = keep(classes.select(*same, "n", F.substring("one", 1, 16).alias("t"), first.alias("first"), "lead", "width"), "classes")
     release_shuffles(spark)
     open_ = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("h", "m")
     wanted = classes.join(open_, "h").groupBy("t").agg(F.collect_list(F.struct(*same, "m", "first", "lead", "width")).alias("wanted"))
@@ -267,10 +330,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = strings.join(often, ["d1", "d2"], "left_semi").select("c1", "c2", F.col("place").alias("from"), F.col("place").alias("to"))
     whole = classes.where("n > 1").select("c1", "c2", (-F.col("lead")).alias("from"), (F.col("width") - F.col("lead")).alias("to"))
     repeats = _dealt(few.unionByName(parts.where(F.col("m") <= CROWD))).unionByName(single).unionByName(whole)
-    runs = keep(repeats.groupBy("c1", "c2").agg(F.collect_set(F.struct("from", "to")).alias("runs")), "runs")
+    runs = keep(repeats.groupBy("c1", "c2").agg(_joined(F.sort_array(F.collect_set(F.struct("from", "to")))).alias("runs")), "runs")
     release_shuffles(spark)
-    at = found.join(runs, ["c1", "c2"]).withColumn("run", F.explode("runs"))
-    at = at.select("t", (F.col("first") + F.col("lead") + F.col("run.from")).alias("start"), (F.col("first") + F.col("lead") + F.col("run.to")).alias("end")).distinct()
+    at = found.join(runs, ["c1", "c2"]).select("lead", "places", "runs").mapInArrow(_text_spans, "t binary, start long, end long").distinct()
     spans = keep(at.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
     for table in (found, classes, items, sizes, strings, runs):
         forget(table)
