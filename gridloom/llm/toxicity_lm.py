@@ -109,7 +109,7 @@ class ToxicityModel:
         hit = self._found(self.grams, keys)
         miss = np.flatnonzero(hit < 0)
         hit[miss] = self._found(self.contexts, keys[miss] >> BITS)
-        out[at] = np.where(hit >= 0, self.values[hit], 0.0)
+        out[at] = self.values[hit]
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -211,7 +211,7 @@ def build(grams: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> Toxicity
         weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.where(total[inverse] > 0, np.maximum(n - d, 0) / np.maximum(total[inverse], 1), 0) + weight[inverse] * backoff))
         weights.append(np.log(np.maximum(weight, 1e-9)))
-    values = np.concatenate([logs[1] - logs[0], weights[1] - weights[0]])
+    values = np.concatenate([logs[1] - logs[0], weights[1] - weights[0], [0.0]])  # the last stands for what is unknown
     split = lambda keys, first: MergeTable({(int(k) >> 24, int(k) & 0xFFFFFF): (0, first + i) for i, k in enumerate(keys)})
     return ToxicityModel(split(grams, 0), split(context, len(grams)), values, BoostedTrees(rounds=80, depth=3, rate=0.15))
 
