@@ -55,9 +55,10 @@ def raw_area(a: Box) -> Column:
 
 
 def intersection_area(a: Box, b: Box) -> Column:
+    """Null where either box is missing."""
     w = _at_least_0(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1))
     h = _at_least_0(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
-    return (w.cast("long") * h).cast("long")
+    return F.when(a.x1.isNotNull() & b.x1.isNotNull(), (w.cast("long") * h).cast("long"))
 
 
 def iou(a: Box, b: Box) -> Column:
@@ -166,23 +167,21 @@ def centre_inside(polygon: Column, a: Box) -> Column:
     return (x >= a.x1) & (x <= a.x2) & (y >= a.y1) & (y <= a.y2)
 
 
-def wraps_around(polygon: Column) -> Column:
-    """Whether a polygon of shares runs around content rather than holding it.
+def wraps_around(polygon: Column, w: Column, h: Column) -> Column:
+    """Whether a polygon runs around content rather than holding it.
 
     So it does with a vertex over 10 % off the page, over 80 % wide, over 60 % wide and 30 % high, or if it has four corners
-    that turn both ways (cross products over 1 in a page of 1000).
+    that turn both ways (cross products over 1 px²). Fewer than three corners never do.
     """
-    px, py = xs(polygon), ys(polygon)
-    off = F.exists(polygon, lambda v: (v < -0.1) | (v > 1.1))
-    sx, sy = F.array_max(px) - F.array_min(px), F.array_max(py) - F.array_min(py)
-
-    def turn(i: int) -> Column:
-        at = lambda a, k: F.get(a, F.lit(k % 4)) * 1000
-        return (at(px, i + 1) - at(px, i)) * (at(py, i + 2) - at(py, i + 1)) - (at(py, i + 1) - at(py, i)) * (at(px, i + 2) - at(px, i + 1))
-
-    turns = [turn(i) for i in range(4)]
-    mixed = (F.size(polygon) == 8) & (F.greatest(*turns) > 1) & (F.least(*turns) < -1)
-    return off | (sx > 0.8) | ((sx > 0.6) & (sy > 0.3)) | F.coalesce(mixed, F.lit(False))
+    px = scaled(polygon, w, h)
+    x, y = xs(px), ys(px)
+    off = F.exists(x, lambda v: (v < -0.1 * w) | (v > 1.1 * w)) | F.exists(y, lambda v: (v < -0.1 * h) | (v > 1.1 * h))
+    sx, sy = (F.array_max(x) - F.array_min(x)) / w, (F.array_max(y) - F.array_min(y)) / h
+    at = lambda a, k: F.get(a, F.lit(k % 4))
+    turns = [(at(x, i + 1) - at(x, i)) * (at(y, i + 2) - at(y, i + 1)) - (at(y, i + 1) - at(y, i)) * (at(x, i + 2) - at(x, i + 1)) for i in range(4)]
+    mixed = (F.size(px) == 8) & (F.greatest(*turns) > 1) & (F.least(*turns) < -1)
+    wraps = off | (sx > 0.8) | ((sx > 0.6) & (sy > 0.3)) | F.coalesce(mixed, F.lit(False))
+    return F.when(F.size(px) >= 6, wraps).otherwise(F.lit(False))
 
 
 def normalized(a: Box, w: Column, h: Column) -> Box:

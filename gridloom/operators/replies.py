@@ -5,6 +5,7 @@ Every reply parses leniently (functions.text.json_text); one that doesn't parse
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +91,59 @@ def materials(replies: DataFrame) -> DataFrame:
     out = rows.withColumn("cells", cells)
     head = out.groupBy("page", "name").agg(F.min("line").alias("head"))
     return out.join(head, ["page", "name"]).where(F.col("line") > F.col("head")).select("page", "name", "line", "cells")
+
+
+AXES = ("x1", "y1", "x2", "y2")
+
+
+def settled(name: tuple, rows: list[tuple], w: int, h: int) -> tuple[tuple, float, str, int] | None:
+    """One panel's replies in order to its box, confidence, status and the number of attempts; None if nothing is left.
+
+    rows: (located or None, valid, wrong axes, corrected or None). A correction of the attempt before goes ahead of a new location. A box
+    must hold the name and cover 80 % of the page at most. A corrected axis that swings (up and down, or down and up, in its last
+    three suggestions) stays where it is. Without a valid box the first with the fewest wrong edges counts.
+    """
+
+    def sane(v):
+        if v is None or len(v) != 4:
+            return None
+        x1, y1, x2, y2 = (int(c) for c in v)
+        box = (max(0, min(x1, w - 1)), max(0, min(y1, h - 1)), max(1, min(x2, w)), max(1, min(y2, h)))
+        return box if box[2] > box[0] and box[3] > box[1] else None
+
+    holds = lambda b: b[0] <= name[0] and b[1] <= name[1] and b[2] >= name[2] and b[3] >= name[3]
+    seen: list[list[int]] = [[], [], [], []]
+    best, fewest, fixed = None, 5, None
+    for n, (located_, valid, wrong, corrected) in enumerate(rows, 1):
+        box, fixed = (fixed, None) if fixed is not None else (sane(located_), None)
+        if box is None or not holds(box) or (box[2] - box[0]) * (box[3] - box[1]) > 0.8 * w * h:
+            continue
+        if valid:
+            return box, 0.95, "verified", n
+        if len(wrong) < fewest:
+            fewest, best = len(wrong), box
+        to = sane(corrected)
+        if to and holds(to):
+            out = list(to)
+            for axis in range(4):
+                seen[axis].append(to[axis])
+                if len(seen[axis]) >= 3:
+                    a, b, c = seen[axis][-3:]
+                    if (a < b > c) or (a > b < c):
+                        out[axis] = box[axis]
+            fixed = sane(out)
+    return (best, max(0.3, 1 - 0.15 * fewest), "unverified", len(rows)) if best else None
+
+
+def verified_panels(attempts: DataFrame, names: DataFrame, w: int, h: int) -> DataFrame:
+    """attempts (page, name, attempt, located, valid, wrong, corrected), names (page, name, n_x1 ... n_y2) -> (page, name, corners, confidence, status, attempts)."""
+    joined = attempts.join(names, ["page", "name"])
+
+    def panel(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("attempt", kind="stable")
+        own = rows.iloc[0]
+        got = settled(tuple(own[[f"n_{a}" for a in AXES]]), list(rows[["located", "valid", "wrong", "corrected"]].itertuples(index=False, name=None)), w, h)
+        found = [] if got is None else [(own.page, own["name"], *got[0], *got[1:])]
+        return pd.DataFrame(found, columns=["page", "name", *AXES, "confidence", "status", "attempts"])
+
+    return joined.groupBy("page", "name").applyInPandas(panel, "page long, name string, x1 long, y1 long, x2 long, y2 long, confidence double, status string, attempts long")

@@ -144,6 +144,42 @@ def structural(lines: DataFrame, pages: DataFrame, level: float = 0.30, upright:
     return flat.unionByName(ordered.select(*KEY, F.explode(thin).alias("_line")).select(*KEY, "_line.*"))
 
 
+def _more_of(first: DataFrame, second: DataFrame, below: int | None = None) -> DataFrame:
+    """Of each page and axis the set with more lines, the first on a tie; below: the first also if it has that many already."""
+    n, m = (df.groupBy(*KEY).agg(F.count(F.lit(1)).alias(c)) for df, c in ((first, "n"), (second, "m")))
+    sizes = n.join(m, KEY, "full_outer").fillna(0, ["n", "m"])
+    swap = F.col("m") > F.col("n") if below is None else (F.col("m") > F.col("n")) & (F.col("n") < below)
+    swapped = sizes.where(swap).select(*KEY)
+    return first.join(swapped, KEY, "left_anti").unionByName(second.join(swapped, KEY, "left_semi"))
+
+
+def grid(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """The lines that may bound panels: solid lines first, dashed ones where those are few, without frames, tables and thick twins.
+
+    Which pages fall back is decided by counts of a page's lines, as a join; every step is written, for the next ones read it twice.
+    """
+    from gridloom.sources.scratch import keep
+
+    seg = {a: segments.where(F.col("axis") == a) for a in "hv"}
+    long = seg["h"].where(F.col("s1") - F.col("s0") >= 150)
+    level = _more_of(clustered(long, 25, 1, 200, 0.60, 100.0), clustered(long, 25, 1, 100, 0.40, 60.0), below=4)
+    upright = _more_of(clustered(seg["v"], 25, 1, 200, 0.60, 50.0), clustered(seg["v"], 25, 1, 100, 0.40, 30.0), below=2)
+    dashed = {a: clustered(s, 25, 5, 120, 0.20, 12.0) for a, s in seg.items()}
+    level, upright = keep(pruned(level), "level"), keep(pruned(_more_of(upright, dashed["v"])), "upright")
+    solid = level.groupBy(*KEY).agg(F.max("avg_len").alias("most")).where("most > 200").select(*KEY)
+    level = level.join(solid, KEY, "left_anti").unionByName(without_fragmented(level.join(solid, KEY, "left_semi")))
+    level = keep(without_thick(without_frame(level, pages)), "level")
+    upright = keep(without_thick(without_thick_middle(without_frame(upright, pages), pages)), "upright")
+    level = keep(without_repetitive(structural(level, pages)), "level")
+    faint = {a: without_frame(pruned(_more_of(dashed[a], clustered(seg[a], 25, 3, 80, 0.10, 8.0), below=4)), pages) for a in "hv"}
+    level = _more_of(level, keep(faint["h"], "faint"), below=2)
+    upright = keep(_more_of(upright, keep(faint["v"], "faint"), below=6), "upright")
+    bounds = keep(structural(upright, pages), "bounds")
+    enough = bounds.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(*KEY)
+    upright = upright.join(enough, KEY, "left_anti").unionByName(bounds.join(enough, KEY, "left_semi"))
+    return level.unionByName(without_frame(without_repetitive(upright), pages))
+
+
 # ── panels between lines ────────────────────────────────────────────────────────────────────────────────────────────────────
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 from gridloom.functions import text as X
-from gridloom.operators import matching, replies, rulings, runs, spatial, tiling, validation
+from gridloom.operators import matching, regions, replies, rulings, runs, spatial, tiling, validation
 
 from .fixtures import PAGE_H, PAGE_W, fixture, oracle
 
@@ -133,7 +133,7 @@ def wrap_around(get):
     b, c, d = F.col("y1") / PAGE_H, F.col("x2") / PAGE_W, F.col("y2") / PAGE_H
     bow = F.col("ord") % 6 == 0  # a bow tie: its corners turn both ways
     polygon = F.when(bow, F.array(a, b, c, d, c, b, a, d)).otherwise(F.array(a, b, c, b, c, d, a, d))
-    return get("boxes").select("page", "ord", B.wraps_around(polygon).alias("wraps"))
+    return get("boxes").select("page", "ord", B.wraps_around(polygon, F.lit(PAGE_W), F.lit(PAGE_H)).alias("wraps"))
 
 
 @_query(f"""WITH v AS (SELECT page, ord, CASE WHEN ord % 2 = 0 THEN x2 / 2000.0 ELSE x2 END AS a, CASE WHEN ord % 2 = 0 THEN y1 / 2000.0 ELSE y1 END AS b,
@@ -1215,3 +1215,69 @@ def svg_segments(get):
     body = get("boxes").groupBy("page").agg(F.array_join(F.collect_list(path), "").alias("body"))
     drawing = F.concat(F.lit('<svg><g transform="matrix(2 0 0 2 0 0)">'), "body", F.lit("</g></svg>"))
     return svg.svg_segments(body.select("page", drawing.alias("svg"), F.lit(4 * PAGE_W).alias("w"), F.lit(4 * PAGE_H).alias("h")))
+
+
+# ── text and figure regions, the grid, the verify loop ──────────────────────────────────────────────────────────────────────
+
+_REL = f"(SELECT page, ord, x1, y1, least(x2, x1 + 1 + part % 300) AS x2, least(y2, y1 + 1 + supp % 90) AS y2, part % 6 = 0 AS bow FROM {{boxes}})"
+
+
+def _paragraphs(get) -> DataFrame:
+    x2, y2 = F.least("x2", F.col("x1") + 1 + F.col("part") % 300), F.least("y2", F.col("y1") + 1 + F.col("supp") % 90)
+    a, b, c, d = (v.cast("double") for v in (F.col("x1"), F.col("y1"), x2, y2))
+    polygon = F.when(F.col("part") % 6 == 0, F.array(a, b, c, d, c, b, a, d)).otherwise(F.array(a, b, c, b, c, d, a, d))
+    return get("boxes").select("page", "ord", polygon.alias("polygon"))
+
+
+@_query(f"""WITH p AS (SELECT page, ord, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, bow AND (x2 - x1) * (y2 - y1) > 1 AS wraps FROM {_REL} r)
+            SELECT p.page, p.ord, CASE WHEN wraps THEN 'wrap_around' WHEN NOT (cx BETWEEN c.x1 AND c.x2 AND cy BETWEEN c.y1 AND c.y2) THEN 'outside_frame'
+              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND t.ord <= 9 AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
+            FROM p JOIN {{content}} c ON p.page = c.page""")
+def text_region_reasons(get):
+    return regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older").where("ord <= 9"))
+
+
+@_query(f"""WITH p AS (SELECT page, ord, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, bow AND (x2 - x1) * (y2 - y1) > 1 AS wraps FROM {_REL} r)
+            SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT (cx BETWEEN c.x1 AND c.x2 AND cy BETWEEN c.y1 AND c.y2) THEN 'outside_frame' WHEN wraps THEN 'wrap_around'
+              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND t.ord <= 9 AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
+            FROM p JOIN {{content}} c ON p.page = c.page) q GROUP BY reason""")
+def text_filter_tally(get):
+    """The order of the raw dump: the frame is tested before wrap-around."""
+    return validation.tally(regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older").where("ord <= 9"), frame_first=True), "reason")
+
+
+@_query("""SELECT b.page, b.ord, greatest(b.x1, c.x1) AS x1, greatest(b.y1, c.y1) AS y1, least(b.x2, c.x2) AS x2, least(b.y2, c.y2) AS y2 FROM {boxes} b JOIN {content} c ON b.page = c.page
+           WHERE (b.x1 + b.x2) / 2 BETWEEN c.x1 AND c.x2 AND (b.y1 + b.y2) / 2 BETWEEN c.y1 AND c.y2""")
+def figure_regions(get):
+    polygon = B.box_to_polygon(B.box())
+    found = regions.figure_regions(get("boxes").select("page", "ord", polygon.alias("polygon")), get("pages"), get("content"))
+    return found.select("page", "ord", *[F.col(c).cast("long").alias(c) for c in CORNERS])
+
+
+@_query(f"""WITH p AS (SELECT n.page, n.ord, o.ord AS painted, o.x1, o.y1, o.x2, o.y2, (n.x1 + n.x2) / 2 - (o.x1 + o.x2) / 2 AS dx, (n.y1 + n.y2) / 2 - (o.y1 + o.y2) / 2 AS dy,
+               least(o.x2, n.x2) > greatest(o.x1, n.x1) OR least(o.y2, n.y2) > greatest(o.y1, n.y1) AS near FROM {{newer}} n JOIN {{older}} o ON n.page = o.page WHERE o.ord <= 6 AND n.ord <= 6),
+            s AS (SELECT page, ord, painted, CASE WHEN near AND abs(dy) < abs(dx) AND dx <= 0 THEN x1 + 30 ELSE x1 END AS x1, CASE WHEN near AND abs(dy) >= abs(dx) AND dy <= 0 THEN y1 + 30 ELSE y1 END AS y1,
+               least({PAGE_W}, CASE WHEN near AND abs(dy) < abs(dx) AND dx > 0 THEN x2 - 30 ELSE x2 END) AS x2, least({PAGE_H}, CASE WHEN near AND abs(dy) >= abs(dx) AND dy > 0 THEN y2 - 30 ELSE y2 END) AS y2 FROM p)
+            SELECT * FROM s WHERE x2 > x1 AND y2 > y1""")
+def white_fill_rectangles(get):
+    return regions.fill_rectangles(get("newer").where("ord <= 6"), get("older").where("ord <= 6"), get("pages"))
+
+
+@_query()
+def ruling_grid(get):
+    """The whole cascade from segments to the lines that bound panels."""
+    return rulings.grid(get("segments"), get("pages").select("page", F.lit(900).alias("w"), F.lit(900).alias("h")))
+
+
+@_query()
+def verify_loop_replay(get):
+    """Locate and verify replies of each panel, replayed to its final box."""
+    b = get("boxes").where("ord <= 12")
+    axis = lambda c: F.when(F.col("part") % 3 == 0, F.lit(c))
+    attempts = b.select(
+        "page", F.concat(F.lit("P"), (F.col("ord") % 3).cast("string")).alias("name"), F.col("ord").alias("attempt"), F.array(*[F.col(c).cast("double") for c in CORNERS]).alias("located"),
+        (F.col("supp") % 11 == 0).alias("valid"), F.array_compact(F.array(axis("x1"), axis("y2"))).alias("wrong"),
+        F.array(F.col("x1") - 5.0, F.col("y1").cast("double"), F.col("x2") + 5.0, F.col("y2").cast("double")).alias("corrected"),
+    )
+    names = b.groupBy("page", F.concat(F.lit("P"), (F.col("ord") % 3).cast("string")).alias("name")).agg(*[F.expr(f"min_by({v}, ord)").alias(f"n_{c}") for c, v in (("x1", "x1 + 2"), ("y1", "y1 + 2"), ("x2", "x1 + 8"), ("y2", "y1 + 8"))])
+    return replies.verified_panels(attempts, names, PAGE_W, PAGE_H)
