@@ -375,7 +375,14 @@ def two_pass_union(get):
     return spatial.two_pass(get("older").where("page % 4 > 0"), get("newer"), deduplicate=False)
 
 
-@_query()
+_BOTH = """(SELECT page, ord, x1, y1, x2, y2 FROM {older} WHERE page % 4 > 0 UNION ALL SELECT b.page, b.ord + n.last + 1, b.x1, b.y1, b.x2, b.y2 FROM {newer} b
+           JOIN (SELECT page, max(ord) AS last FROM {older} WHERE page % 4 > 0 GROUP BY page) n ON b.page = n.page) u"""
+
+
+@_query(
+    _NMS.format(src=_BOTH, clash=_KIOU).replace("{{", "{").replace("}}", "}")
+    + " SELECT page, k.ord AS ord, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM (SELECT page, unnest(kept[2:]) AS k FROM z) t"
+)
 def two_pass_dedup(get):
     return spatial.two_pass(get("older").where("page % 4 > 0"), get("newer"))
 
@@ -449,7 +456,18 @@ def interval_merge(get):
     return rulings.merged_intervals(get("segments"), _lines(get))
 
 
-@_query()
+_ONE = "{'pos': o.pos, 'span_min': o.span_min, 'span_max': o.span_max, 'avg_len': o.avg_len}"
+
+
+@_query(
+    f"WITH RECURSIVE {_CLUSTERED}, o AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY pos, span_min, span_max, avg_len) AS r FROM lines0),"
+    f" f AS (SELECT page, axis, r, [{_ONE}] AS kept FROM o WHERE r = 1 UNION ALL"
+    f" SELECT f.page, f.axis, o.r, CASE WHEN o.pos - f.kept[-1].pos >= 60 THEN list_append(f.kept, {_ONE})"
+    f" WHEN o.span_max - o.span_min > f.kept[-1].span_max - f.kept[-1].span_min OR (o.span_max - o.span_min = f.kept[-1].span_max - f.kept[-1].span_min AND o.avg_len > f.kept[-1].avg_len)"
+    f" THEN list_append(list_slice(f.kept, 1, len(f.kept) - 1), {_ONE}) ELSE f.kept END FROM f JOIN o ON f.page = o.page AND f.axis = o.axis AND o.r = f.r + 1),"
+    " z AS (SELECT page, axis, kept FROM f QUALIFY row_number() OVER (PARTITION BY page, axis ORDER BY r DESC) = 1)"
+    " SELECT page, axis, k.pos AS pos, k.span_min AS span_min, k.span_max AS span_max, k.avg_len AS avg_len FROM (SELECT page, axis, unnest(kept) AS k FROM z) t"
+)
 def prune_close_lines(get):
     return rulings.pruned(_lines(get), 60)
 

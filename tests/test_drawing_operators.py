@@ -393,3 +393,28 @@ def test_replies_that_do_not_parse(spark):
     names = spark.createDataFrame([(0, 0, "A"), (1, 0, "B")], "page long, ord long, name string")
     said = spark.createDataFrame([(0, "no"), (1, '{"panel_names": ["C", "D"]}')], "page long, reply string")
     assert sorted((r.page, r.name) for r in replies.verified_names(names, said).collect()) == [(0, "A"), (1, "C"), (1, "D")]
+
+
+def test_settled_follows_the_replies():
+    name = (20, 20, 40, 30)
+    good, small = [10, 10, 100, 100], [30, 10, 100, 100]
+    assert replies.settled(name, [(None, False, [], None), (small, True, [], None), (good, True, [], None)], 200, 200) == ((10, 10, 100, 100), 0.95, "verified", 3)
+    rows = [(good, False, ["x1", "x2"], [5, 10, 100, 100]), (None, False, ["x1"], [9, 10, 100, 100]), (None, False, ["x1"], [6, 10, 120, 100]), (None, True, [], None)]
+    # the third suggestion for x1 swings back, so the box of the attempt keeps its 9
+    assert replies.settled(name, rows, 200, 200) == ((9, 10, 120, 100), 0.95, "verified", 4)
+    assert replies.settled(name, rows[:2], 200, 200) == ((5, 10, 100, 100), 0.85, "unverified", 2)
+    assert replies.settled(name, [([0, 0, 200, 200], True, [], None)], 200, 200) is None
+
+
+def test_boxes_without_a_partner(spark):
+    new = spark.createDataFrame([(1, 5, 0, 0, 9, 9)], BOX)
+    assert spatial.new_regions(new, new.where("false")).count() == 1
+    assert spatial.coverage_snap(new, new, new.where("false")).first().action == "content"
+    assert spatial.assigned_tiles(new, new.where("false").withColumnRenamed("ord", "tile")).first().tile == -1
+
+
+@pytest.mark.parametrize("kind", ["h", "v"])
+def test_grid_finds_solid_lines(spark, kind):
+    segments = spark.createDataFrame([(0, kind, p, float(s), float(s + 390)) for p in (100, 300, 620, 800) for s in (20, 410)], "page long, axis string, pos long, s0 double, s1 double")
+    pages = spark.createDataFrame([(0, 900, 900)], "page long, w long, h long")
+    assert {r.pos for r in rulings.grid(segments, pages).collect()} == {100, 300, 620, 800}
