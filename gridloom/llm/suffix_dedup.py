@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .deep_shallow import RangeMinimum, sort_groups
 from .piece_codec import _portions
@@ -36,6 +35,8 @@ SPAN, GRAM = 400, 64
 CROWD = 200
 #: Parts that a crowd is split into.
 PARTS = 8
+#: Places of one context that a row holds, at most.
+PLACES = 64
 #: Spans that are made at once, about.
 SPANS = 200_000
 #: String starts of one text that are looked at together.
@@ -94,12 +95,12 @@ _PLACE = 20
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, text as bytes) in; a row for each context of a portion of texts out, so that a context many texts share is few rows.
+    """(t, text as bytes) in; a row for each context (and PLACES of it) of a portion of texts out, so that a context many texts share is few rows.
 
     The strings of a context start at first .. first + width, its anchor lies at first + lead.
     """
     for batch in batches:
-        for at, size in _portions(batch.column(1)):
+        for at, size in _portions(batch.column(1), 2 << 20):
             part = batch.slice(at, size)
             ts, found = [], []
             for t, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -119,7 +120,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.empty((len(ts), _PLACE), dtype=np.uint8)
             place[:, :16] = np.frombuffer(b"".join(ts), dtype=np.uint8).reshape(-1, 16)[order]
             place[:, 16:] = cols[5].astype(">i4").view(np.uint8).reshape(-1, 4)
-            starts = np.flatnonzero(np.append(True, (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
+            new = np.append(True, (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
+            since = np.arange(len(ts)) - np.maximum.accumulate(np.where(new, np.arange(len(ts)), 0))
+            starts = np.flatnonzero(since % PLACES == 0)
             edges = (_PLACE * np.append(starts, len(ts))).astype(np.int32)
             places = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(place.tobytes())])
             arrays = [pa.array(c[starts]) for c in cols[:3]] + [pa.array(c[starts].astype(np.int32)) for c in cols[3:5]]
@@ -332,7 +335,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     repeats = _dealt(few.unionByName(parts.where(F.col("m") <= CROWD))).unionByName(single).unionByName(whole)
     runs = keep(repeats.groupBy("c1", "c2").agg(_joined(F.sort_array(F.collect_set(F.struct("from", "to")))).alias("runs")), "runs")
     release_shuffles(spark)
-    at = found.join(runs, ["c1", "c2"]).select("lead", "places", "runs").mapInArrow(_text_spans, "t binary, start long, end long").distinct()
+    # rows of a common context lie together after the join; each stands for up to PLACES spans, so they are dealt anew
+    at = found.join(runs, ["c1", "c2"]).select("lead", "places", "runs").repartition(partitions(spark)).mapInArrow(_text_spans, "t binary, start long, end long").distinct()
     spans = keep(at.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
     for table in (found, classes, items, sizes, strings, runs):
         forget(table)
@@ -352,40 +356,40 @@ def _removed(spans: list[dict] | None) -> list[list[int]]:
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and, last, ``_kept`` (the remaining bytes), ``_n_bytes`` and ``_removed`` (ranges of removed bytes, end excluded)."""
+def _cleaned(docs: DataFrame, as_text: bool) -> DataFrame:
+    """All columns of ``docs`` and, last, what remains of each text, its bytes' number, and the ranges of removed bytes."""
     spans = repeated_spans(docs).select(F.col("t").alias("_t"), F.col("spans").alias("_spans"))
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     both = docs.withColumn("_t", _known_by(text)).join(spans, "_t", "left").select(*names, F.encode(text, "UTF-8").alias("_raw"), "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at, size in _portions(batch.column(len(names))):
+            for at, size in _portions(batch.column(len(names)), 2 << 20):
                 part = batch.slice(at, size)
-                kept, removed = [], []
+                kept, removed, sizes = [], [], []
                 for raw, spans in zip(part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()):
                     gone = _removed(spans)
                     edges = [0, *(x for pair in gone for x in pair), len(raw)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else raw
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
                     removed.append([{"start": a, "end": b} for a, b in gone])
-                sizes = pa.array([len(x) for x in part.column(len(names)).to_pylist()], pa.int64())
-                arrays = [*part.columns[: len(names)], pa.array(kept, pa.binary()), sizes, pa.array(removed, kind)]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "_kept", "_n_bytes", "_removed"])
+                    sizes.append(len(raw))
+                arrays = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, ranges)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *arrays], [*names, "_kept", "_n_bytes", "_removed"])
 
-    more = "_kept binary, _n_bytes long, _removed array<struct<start:long,end:long>>"
+    more = f"_kept {'string' if as_text else 'binary'}, _n_bytes long, _removed array<struct<start:long,end:long>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return both.mapInArrow(run, f"{schema}, {more}")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with repeats taken out of their texts; characters that are cut in two go as well."""
-    out = without_repeats(docs)
-    text = F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.decode(_whole_characters(F.col("_kept")), "UTF-8"))
-    return out.withColumn("text", text).select(*docs.columns)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and, last, ``_kept`` (the remaining bytes), ``_n_bytes`` and ``_removed`` (ranges of removed bytes, end excluded)."""
+    return _cleaned(docs, as_text=False)
 
 
-@F.pandas_udf(T.BinaryType())
-def _whole_characters(kept):
-    return kept.map(lambda raw: raw.decode("utf-8", "ignore").encode("utf-8"))
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with repeats taken out of their texts; characters that are cut in two go as well."""
+    out = _cleaned(docs, as_text=True)
+    return out.withColumn("text", F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.col("_kept"))).select(*docs.columns)
