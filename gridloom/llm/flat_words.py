@@ -58,7 +58,7 @@ def _hashed(keys: np.ndarray) -> np.ndarray:
 class FlatMemory:
     """ids of words that were met, in arrays sorted by hash; it starts anew beyond ``most`` words."""
 
-    def __init__(self, make: Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
+    def __init__(self, make: Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.make, self.most = make, most
         self._clear()
 
