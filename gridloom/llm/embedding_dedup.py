@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import keep, partitions
+from .shared import hash_sample, keep, partitions
 
 COSINE = 0.95
 SAMPLE, PIVOTS, APART = 4096, 256, 0.6
@@ -156,7 +156,7 @@ def _changes(rows: pa.Table) -> np.ndarray:
 def links(classes: DataFrame, least: float = COSINE, nearest_n: int = NEAREST, shared: int = SHARED) -> DataFrame:
     """classes: (node, vector, n). (a, b, n): a = b links with n others (of other classes); a and b are connected."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("vector"), "node").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    sample = hash_sample(classes.select("vector"), SAMPLE, "vector").toArrow()["vector"].combine_chunks()
     sample = sample if isinstance(sample, pa.ListArray) else sample.chunk(0) if sample.num_chunks else pa.array([], pa.list_(pa.float64()))
     pivots = choose_pivots(matrix(sample)) if len(sample) else np.zeros((1, 1))
     if len(pivots) < shared:  # so few that all vectors share them all

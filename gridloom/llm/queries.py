@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dedup, exact_dedup, packing, piece_codec, quality_gam, simhash_dedup, suffix_dedup, toxicity_lm, url_filter
-from .shared import table
+from .shared import corpus, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,29 +17,29 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_gam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_gam.judged(corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash_dedup.near_groups(corpus(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_vectors(corpus(spark, sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    pieces = packing.pack_documents(corpus(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_toxicity_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_lm.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_lm.judged(corpus(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    coded = piece_codec.encoded(corpus(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -49,7 +49,7 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup.without_repeats(corpus(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("_removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return out.select(
         "doc_id",
@@ -61,17 +61,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    groups = exact_dedup.exact_groups(corpus(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages")).drop("score")
+    return url_filter.judged(corpus(spark, sf_dir, "pages")).drop("score")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = corpus(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
         F.col("id").alias("turn"),

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from gridloom.sources.scratch import forget, keep, release_shuffles, shared_folder
 
-__all__ = ["forget", "keep", "release_shuffles", "shared_folder", "table", "partitions", "id_remainder", "bounded_labels"]
+__all__ = ["forget", "keep", "release_shuffles", "shared_folder"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A large table; if its files make fewer partitions than there are cores, its rows are dealt to as many."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -23,6 +29,19 @@ def id_remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows, the first by a hash of the key.
+
+    Rows that can't be among them are left out before the sort (twice as many as needed stay, by the hash), so that no task gets more than a few times
+    the sample, however large the table.
+    """
+    n, bits = df.count(), 1 << 30
+    order = F.pmod(F.xxhash64(*key), F.lit(bits))
+    if n > 2 * rows:
+        df = df.where(order < -(-2 * rows * bits // n))
+    return df.orderBy(order, *key).limit(rows)
+
+
 def bounded_labels(labels: DataFrame, column: str, rows: int, parts: int, held_out: int) -> DataFrame:
     """(doc_id, label) of at most ``rows`` labelled documents outside the held-out fold, in the order of a hash of the id.
 
@@ -31,4 +50,4 @@ def bounded_labels(labels: DataFrame, column: str, rows: int, parts: int, held_o
     usable = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), parts) != held_out)
     )
-    return usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return hash_sample(usable.groupBy("doc_id").agg(F.max("label").alias("label")), rows, "doc_id")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosted_trees import BoostedTrees
+from .shared import hash_sample
 
 #: Labelled URLs that the trees learn from, at most.
 SAMPLE = 50_000
@@ -120,7 +121,7 @@ def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rule, verdict = _rule(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": rule, "ruled": verdict})
     labelled = own.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("y"))
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    rows = hash_sample(labelled, sample, "url").collect()
     known, model = train([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], [r.y for r in rows])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
