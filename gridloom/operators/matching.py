@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 from gridloom.functions import text as X
 
+from .folds import fold_groups, with_number
+
 CORNERS = ["x1", "y1", "x2", "y2"]
 HIT = "page long, name string, name_ord long, method string, lines array<long>, x1 long, y1 long, x2 long, y2 long"
 # Rank of a method where names compete for a box (anything else ranks 5), and confidence of the simple matcher's passes.
@@ -224,17 +225,16 @@ def all_pass_matches(names: DataFrame, lines: DataFrame) -> DataFrame:
         lines.select("page", F.lit(1).alias("kind"), "ord", X.norm(F.col("content")).alias("normed"), F.lit(None).cast("string").alias("name"), *CORNERS)
     )
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "ord"], kind="stable")
-        own = rows[rows.kind == 1]
-        found = list(zip(own.ord.tolist(), own.normed.tolist(), (tuple(map(int, b)) for b in own[CORNERS].itertuples(index=False, name=None))))
-        out = []
-        for ord_, normed, name in rows[rows.kind == 0][["ord", "normed", "name"]].itertuples(index=False, name=None):
-            for k, (method, ords, box) in enumerate(all_pass_hits(normed, found)):
-                out.append((rows.page.iloc[0], name, ord_, method, ords, *box, k))
-        return pd.DataFrame(out, columns=["page", "name", "name_ord", "method", "lines", *CORNERS, "hit_ord"])
+    def page(rows: list[tuple]) -> list[tuple]:
+        found = [(ord_, normed, tuple(box)) for _, kind, ord_, normed, _, *box in rows if kind == 1]
+        return [
+            (key, name, ord_, method, ords, *box, k)
+            for key, kind, ord_, normed, name, *_ in rows
+            if kind == 0
+            for k, (method, ords, box) in enumerate(all_pass_hits(normed, found))
+        ]
 
-    return tall.groupBy("page").applyInPandas(page, HIT + ", hit_ord long")
+    return fold_groups(tall, ("page",), ("kind", "ord"), page, HIT + ", hit_ord long")
 
 
 # ── conflicts, positions ────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -340,11 +340,8 @@ def gaps_filled(names: list[str]) -> list[str]:
 
 
 def series_gaps_filled(names: DataFrame) -> DataFrame:
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        out = gaps_filled(rows.sort_values("ord", kind="stable").name.tolist())
-        return pd.DataFrame({"page": rows.page.iloc[0], "ord": range(len(out)), "name": out})
-
-    return names.groupBy("page").applyInPandas(page, "page long, ord long, name string")
+    page = lambda rows: [(rows[0][0], n, name) for n, name in enumerate(gaps_filled([r[2] for r in rows]))]
+    return fold_groups(names.select("page", "ord", "name"), ("page",), ("ord",), page, "page long, ord long, name string")
 
 
 def superseded(names: DataFrame) -> DataFrame:
@@ -407,14 +404,12 @@ def paired(lines: list[tuple[int, str, tuple]], factor: float = 1.5, least: floa
 def split_lines_merged(lines: DataFrame) -> DataFrame:
     """(page, ord, content, corners, merged): ord is the upper line's."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        own = [(o, c, tuple(b)) for o, c, *b in rows[["ord", "content", *CORNERS]].itertuples(index=False, name=None)]
-        out = [(rows.page.iloc[0], ords[0], text, *box, len(ords) > 1) for ords, text, box in paired(own)]
-        return pd.DataFrame(out, columns=["page", "ord", "content", *CORNERS, "merged"])
+    def page(rows: list[tuple]) -> list[tuple]:
+        own = [(ord_, text, tuple(box)) for _, ord_, text, *box in rows]
+        return [(rows[0][0], ords[0], text, *box, len(ords) > 1) for ords, text, box in paired(own)]
 
     schema = "page long, ord long, content string, x1 long, y1 long, x2 long, y2 long, merged boolean"
-    return lines.select("page", "ord", "content", *CORNERS).groupBy("page").applyInPandas(page, schema)
+    return fold_groups(lines.select("page", "ord", "content", *CORNERS), ("page",), ("ord",), page, schema)
 
 
 # ── serial names ────────────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -448,6 +443,13 @@ def anchored_rows(values: list[float], tolerance: float) -> list[int]:
     return out
 
 
+def _in_rows(placed: DataFrame, order: tuple[str, ...], tolerance: float) -> DataFrame:
+    """Adds ``row``: the row of each place among those of its page and prefix, by cy."""
+    at = placed.columns.index("cy")
+    fold = lambda rows: [(*r, n) for r, n in zip(rows, anchored_rows([r[at] for r in rows], tolerance))]
+    return fold_groups(placed, ("page", "prefix"), order, fold, with_number(placed, "row"))
+
+
 def position_hints(matched: DataFrame, unmatched: DataFrame, tolerance: float = 40.0) -> DataFrame:
     """Expected centre of unmatched serial names: (page, name, cx, cy).
 
@@ -457,11 +459,7 @@ def position_hints(matched: DataFrame, unmatched: DataFrame, tolerance: float =
     placed = _placed(matched).select("page", "prefix", "number", "cx", "cy")
     missing = unmatched.withColumn("s", X.serial(X.norm(F.col("name")))).where("s is not null").select("page", "name", "s.prefix", "s.number")
 
-    def rows_of(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cy", "number", "cx"], kind="stable")
-        return rows.assign(row=anchored_rows(rows.cy.tolist(), tolerance))
-
-    rows = placed.groupBy("page", "prefix").applyInPandas(rows_of, placed.schema.simpleString()[7:-1].replace(":", " ") + ", row int")
+    rows = _in_rows(placed, ("cy", "number", "cx"), tolerance)
     slope = lambda c: F.coalesce(F.regr_slope(c, "number"), F.lit(0.0))
     fit = rows.groupBy("page", "prefix", "row").agg(
         F.min("number").alias("low"), F.max("number").alias("high"), F.avg("number").alias("mean"),
@@ -481,11 +479,7 @@ def inversions(matched: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """Neighbours of a row (by cx) whose numbers run against the row's direction: page, prefix, name, next_name, direction."""
     placed = _placed(matched)
 
-    def rows_of(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cy", "cx", "name"], kind="stable")
-        return rows.assign(row=anchored_rows(rows.cy.tolist(), tolerance))
-
-    rows = placed.groupBy("page", "prefix").applyInPandas(rows_of, placed.schema.simpleString()[7:-1].replace(":", " ") + ", row int")
+    rows = _in_rows(placed, ("cy", "cx", "name"), tolerance)
     w = Window.partitionBy("page", "prefix", "row").orderBy("cx", "name")
     rows = rows.withColumns({"next": F.lead("number").over(w), "next_name": F.lead("name").over(w)})
     whole = Window.partitionBy("page", "prefix", "row")
@@ -570,17 +564,16 @@ def _one_correction(row: list[list], sign: int, names: dict[str, tuple], done: l
 def serial_outliers_corrected(matched: DataFrame) -> DataFrame:
     """(page, name, corners, was): every matched name after correction; was: the name before, where it changed."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        names, done = corrected_series({n: tuple(b) for n, *b in rows[["name", *CORNERS]].itertuples(index=False, name=None)})
+    def page(rows: list[tuple]) -> list[tuple]:
+        names, done = corrected_series({name: tuple(box) for _, _, name, *box in rows})
         was: dict[str, str] = {}
         for kind, old, new in done:
             if kind == "rename":
                 was[new] = was.pop(old, old)
-        return pd.DataFrame([(rows.page.iloc[0], n, *b, was.get(n)) for n, b in names.items()], columns=["page", "name", *CORNERS, "was"])
+        return [(rows[0][0], name, *box, was.get(name)) for name, box in names.items()]
 
     own = matched.select("page", "ord", "name", *CORNERS)
-    return own.groupBy("page").applyInPandas(page, "page long, name string, x1 long, y1 long, x2 long, y2 long, was string")
+    return fold_groups(own, ("page",), ("ord",), page, "page long, name string, x1 long, y1 long, x2 long, y2 long, was string")
 
 
 def gaps_by_position(matched: DataFrame, unmatched: DataFrame, lines: DataFrame, dx: float = 30.0, dy: float = 15.0) -> DataFrame:
@@ -599,16 +592,18 @@ def gaps_by_position(matched: DataFrame, unmatched: DataFrame, lines: DataFrame,
     near = near.select("w.page", F.col("w.ord").alias("name_ord"), "w.prefix", "w.name", "off", F.col("l.ord").alias("line"), *[F.col(f"l.{c}").alias(c) for c in CORNERS])
     free = near.join(matched.select("page", *CORNERS).distinct(), ["page", *CORNERS], "left_anti")
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
+    def page(rows: list[tuple]) -> list[tuple]:
         taken, out, named = set(), [], set()
-        for _, name, off, line_, *b in rows.sort_values(["prefix", "name_ord", "off", "line"], kind="stable")[["prefix", "name", "off", "line", *CORNERS]].itertuples(index=False, name=None):
-            if name not in named and tuple(b) not in taken:
+        for key, _, _, name, _, line_, *box in rows:
+            if name not in named and tuple(box) not in taken:
                 named.add(name)
-                taken.add(tuple(b))
-                out.append((rows.page.iloc[0], name, line_, *b))
-        return pd.DataFrame(out, columns=["page", "name", "line", *CORNERS])
+                taken.add(tuple(box))
+                out.append((key, name, line_, *box))
+        return out
 
-    return free.groupBy("page").applyInPandas(page, "page long, name string, line long, x1 long, y1 long, x2 long, y2 long")
+    free = free.select("page", "name_ord", "prefix", "name", "off", "line", *CORNERS)
+    schema = "page long, name string, line long, x1 long, y1 long, x2 long, y2 long"
+    return fold_groups(free, ("page",), ("prefix", "name_ord", "off", "line"), page, schema)
 
 
 def aligned_lines(matched: DataFrame, unmatched: DataFrame, lines: DataFrame, tolerance: float = 2.0) -> DataFrame:

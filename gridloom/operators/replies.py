@@ -5,13 +5,14 @@ Every reply parses leniently (functions.text.json_text); one that doesn't parse
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 from gridloom.functions import text as X
 
+from .folds import fold_groups
+
 # Where a reply may keep its names.
 NAME_KEYS = ("panel_names", "panel_bays", "names", "panels")
 
@@ -137,13 +138,11 @@ def settled(name: tuple, rows: list[tuple], w: int, h: int) -> tuple[tuple, floa
 
 def verified_panels(attempts: DataFrame, names: DataFrame, w: int, h: int) -> DataFrame:
     """attempts (page, name, attempt, located, valid, wrong, corrected), names (page, name, n_x1 ... n_y2) -> (page, name, corners, confidence, status, attempts)."""
-    joined = attempts.join(names, ["page", "name"])
+    joined = attempts.join(names, ["page", "name"]).select("page", "name", "attempt", "located", "valid", "wrong", "corrected", *[f"n_{a}" for a in AXES])
 
-    def panel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("attempt", kind="stable")
-        own = rows.iloc[0]
-        got = settled(tuple(own[[f"n_{a}" for a in AXES]]), list(rows[["located", "valid", "wrong", "corrected"]].itertuples(index=False, name=None)), w, h)
-        found = [] if got is None else [(own.page, own["name"], *got[0], *got[1:])]
-        return pd.DataFrame(found, columns=["page", "name", *AXES, "confidence", "status", "attempts"])
+    def panel(rows: list[tuple]) -> list[tuple]:
+        got = settled(rows[0][7:], [r[3:7] for r in rows], w, h)
+        return [] if got is None else [(rows[0][0], rows[0][1], *got[0], *got[1:])]
 
-    return joined.groupBy("page", "name").applyInPandas(panel, "page long, name string, x1 long, y1 long, x2 long, y2 long, confidence double, status string, attempts long")
+    schema = "page long, name string, x1 long, y1 long, x2 long, y2 long, confidence double, status string, attempts long"
+    return fold_groups(joined, ("page", "name"), ("attempt",), panel, schema)

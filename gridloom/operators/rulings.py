@@ -6,10 +6,11 @@ Islands, intervals and nearest lines are windows, aggregates and range joins; wh
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_groups
+
 KEY = ["page", "axis"]
 
 
@@ -266,11 +267,15 @@ def shared_panels_split(panels: DataFrame, pages: DataFrame, alike: float = 0.85
     one pixel at least. panels: (page, id, name, corners, seed_x, seed_y).
     """
     joined, columns = panels.join(pages, "page"), panels.columns
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable").drop_duplicates("name")
-        items = rows.to_dict("records")
-        w, h = int(rows.w.iloc[0]), int(rows.h.iloc[0])
+    every = joined.columns
+
+    def page(rows: list[tuple]) -> list[tuple]:
+        first: dict[str, dict] = {}
+        for row in rows:
+            item = dict(zip(every, row))
+            first.setdefault(item["name"], item)
+        items = list(first.values())
+        w, h = items[0]["w"], items[0]["h"]
         size = lambda p: max(1, (p["x2"] - p["x1"]) * (p["y2"] - p["y1"]))
         groups: list[list[dict]] = []
         for p in items:
@@ -296,9 +301,9 @@ def shared_panels_split(panels: DataFrame, pages: DataFrame, alike: float = 0.85
             for a, limit in (("x", w), ("y", h)):
                 low, high = (max(0, min(limit - 1, int(p[f"{a}{k}"]))) for k in (1, 2))
                 p[f"{a}1"], p[f"{a}2"] = low, high if high > low else min(limit - 1, low + 1)
-        return pd.DataFrame(items)[columns]
+        return [tuple(p[c] for c in columns) for p in items]
 
-    return joined.groupBy("page").applyInPandas(page, panels.schema)
+    return fold_groups(joined, ("page",), ("id",), page, panels.schema)
 
 
 # ── sequences ───────────────────────────────────────────────────────────────────────────────────────────────────────────────

@@ -8,12 +8,13 @@ depends on what was kept before (greedy suppression) folds over one page's boxes
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 
+from .folds import fold_groups, with_number
+
 CORNERS = ["x1", "y1", "x2", "y2"]
 
 
@@ -49,11 +50,6 @@ def _common(a, b) -> int:
     return max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
 
 
-def _rows(page: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, ...]]]:
-    page = page.sort_values("ord", kind="stable")
-    return page, list(page[CORNERS].itertuples(index=False, name=None))
-
-
 def greedy(found: list[tuple[int, ...]], clashes) -> list[int]:
     """Places of the boxes kept, largest first (ties in order): one goes if it clashes with a kept one."""
     kept: list[int] = []
@@ -69,19 +65,21 @@ def _iou(a, b) -> float:
     return both / union if both and union > 0 else 0.0
 
 
-def suppressed(boxes: DataFrame, over: float = 0.5, by: str = "page") -> DataFrame:
-    """Greedy suppression: by area, each box that has no more than ``over`` (IoU) in common with any kept one. ``rank`` is the place among the kept."""
+def _corners(df: DataFrame) -> slice:
+    """Where a row of ``df`` has its corners, which must stand together."""
+    first = df.columns.index("x1")
+    return slice(first, first + 4)
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page, found = _rows(page)
-        kept = greedy(found, lambda a, k: _iou(a, k) > over)
-        return page.iloc[kept].assign(rank=range(len(kept)))
 
-    return boxes.groupBy(by).applyInPandas(fold, _with(boxes, "rank int"))
+def suppressed(boxes: DataFrame, over: float = 0.5, by: str = "page") -> DataFrame:
+    """Greedy suppression: by area, each box that has no more than ``over`` (IoU) in common with any kept one. ``rank`` is the place among the kept."""
+    at = _corners(boxes)
 
+    def fold(rows: list[tuple]) -> list[tuple]:
+        kept = greedy([r[at] for r in rows], lambda a, k: _iou(a, k) > over)
+        return [(*rows[i], n) for n, i in enumerate(kept)]
 
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+    return fold_groups(boxes, (by,), ("ord",), fold, with_number(boxes, "rank"))
 
 
 def sweep(found: list[tuple[int, ...]], share: float) -> list[int]:
@@ -113,13 +111,14 @@ def new_regions(new: DataFrame, existing: DataFrame, by: str = "page") -> DataFr
     size = B.area(B.box())
     fresh = covered.where((size == 0) | ((F.col("most") * 2 <= size) & (F.col("all") / size <= 0.6))).drop("most", "all")
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page, found = _rows(page)
+    at = _corners(fresh)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        found = [r[at] for r in rows]
         kept = greedy(found, lambda a, k: _area(a) > 0 and _common(k, a) / _area(a) > 0.5)
-        left = sweep([found[i] for i in kept], 0.85)
-        return page.iloc[[kept[i] for i in left]]
+        return [rows[kept[i]] for i in sweep([found[i] for i in kept], 0.85)]
 
-    return fresh.groupBy(by).applyInPandas(fold, fresh.schema)
+    return fold_groups(fresh, (by,), ("ord",), fold, fresh.schema)
 
 
 def inside_others(boxes: DataFrame, others: DataFrame, share: float, larger: bool, strict: bool, by: str = "page") -> DataFrame:
@@ -152,23 +151,16 @@ def merged_regions(detected: DataFrame, found: DataFrame, dropped: DataFrame, by
     llm = found.select(by, F.lit("llm").alias("source"), "ord", *CORNERS)
     both = di.unionByName(llm)
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["source", "ord"], kind="stable")
-        rows, kept = list(page[["source", *CORNERS]].itertuples(index=False, name=None)), []
-        for i, (source, *own) in enumerate(rows):
+    def fold(rows: list[tuple]) -> list[tuple]:
+        found, kept = [r[3:] for r in rows], []
+        for i, own in enumerate(found):
             size = _area(own)
-            part = size > 0 and source == "llm" and any(_area(rows[k][1:]) >= size and _common(own, rows[k][1:]) / size >= 0.85 for k in kept)
-            if not part:
+            if not (size and rows[i][1] == "llm" and any(_area(found[k]) >= size and _common(own, found[k]) / size >= 0.85 for k in kept)):
                 kept.append(i)
-        left = [
-            i
-            for i in kept
-            if not (size := _area(rows[i][1:]))
-            or not any(k != i and size <= _area(rows[k][1:]) and _common(rows[i][1:], rows[k][1:]) / size >= 0.85 for k in kept)
-        ]
-        return page.iloc[left]
+        inside = lambda i, k: k != i and _area(found[i]) <= _area(found[k]) and _common(found[i], found[k]) / _area(found[i]) >= 0.85
+        return [rows[i] for i in kept if not _area(found[i]) or not any(inside(i, k) for k in kept)]
 
-    return both.groupBy(by).applyInPandas(fold, both.schema)
+    return fold_groups(both, (by,), ("source", "ord"), fold, both.schema)
 
 
 def postprocessed(crops: DataFrame, content: DataFrame, by: str = "page") -> DataFrame:
@@ -182,16 +174,17 @@ def postprocessed(crops: DataFrame, content: DataFrame, by: str = "page") -> Dat
     cut = [F.coalesce(common[n], F.col(f"c.{n}")).alias(n) for n in CORNERS]
     clipped = joined.select(F.col(f"c.{by}").alias(by), F.col("c.ord").alias("ord"), *cut)
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page, found = _rows(page)
-        gone: set[int] = set()
+    at = _corners(clipped)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        found, gone = [r[at] for r in rows], set()
         for i, a in enumerate(found):
             for j, b in enumerate(found):
                 if i != j and i not in gone and j not in gone and b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3]:
                     gone.add(i)
-        return page.iloc[[i for i in range(len(found)) if i not in gone]]
+        return [r for i, r in enumerate(rows) if i not in gone]
 
-    return clipped.groupBy(by).applyInPandas(fold, clipped.schema)
+    return fold_groups(clipped, (by,), ("ord",), fold, clipped.schema)
 
 
 def coverage_snap(regions: DataFrame, content: DataFrame, existing: DataFrame, by: str = "page") -> DataFrame:
@@ -267,17 +260,16 @@ def painted_area(painted: DataFrame, by: str = "page") -> DataFrame:
 
     By compression of coordinates: the cells between all edges of a page, each as the last rectangle over it left it.
     """
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", kind="stable")
-        xs, ys = np.unique(page[["x1", "x2"]].to_numpy()), np.unique(page[["y1", "y2"]].to_numpy())
-        cells = np.zeros((max(0, len(ys) - 1), max(0, len(xs) - 1)), dtype=bool)
-        for kind, x1, y1, x2, y2 in page[["kind", *CORNERS]].itertuples(index=False, name=None):
+    def fold(rows: list[tuple]) -> list[tuple]:
+        xs, ys = (np.unique([r[k] for r in rows for k in ks]) for ks in ((2, 4), (3, 5)))
+        cells = np.zeros((len(ys) - 1, len(xs) - 1), dtype=bool)
+        for _, kind, x1, y1, x2, y2, _ in rows:
             i, j, k, m = (np.searchsorted(v, c) for v, c in ((ys, y1), (ys, y2), (xs, x1), (xs, x2)))
             cells[i:j, k:m] = kind == "panel"
-        size = int((cells * np.diff(ys)[:, None] * np.diff(xs)[None, :]).sum())
-        return pd.DataFrame({by: [page[by].iloc[0]], "area": [size]})
+        return [(rows[0][0], int((cells * np.diff(ys)[:, None] * np.diff(xs)[None, :]).sum()))]
 
-    return painted.groupBy(by).applyInPandas(fold, f"{by} {painted.schema[by].dataType.simpleString()}, area long")
+    own = painted.select(by, "kind", *CORNERS, "ord")
+    return fold_groups(own, (by,), ("ord",), fold, f"{by} {painted.schema[by].dataType.simpleString()}, area long")
 
 
 def edge_fixed(crops: DataFrame, others: DataFrame, by: str = "page") -> DataFrame:
