@@ -1045,7 +1045,7 @@ def stage_diff(get):
 
 
 @_query("""WITH bay AS (SELECT page, concat('P', ord % 9) AS name, arg_min(supp % 4, ord) AS n_bays FROM {boxes} WHERE ord > 3 GROUP BY page, concat('P', ord % 9))
-           SELECT b.page, count(*) AS panels, string_agg(concat(b.name, ':', coalesce(concat('', n_bays), '-')), ',' ORDER BY b.ord) AS listed
+           SELECT b.page, count(*) AS panels, string_agg(concat(b.name, ':', coalesce(CAST(n_bays AS VARCHAR), '-')), ',' ORDER BY b.ord) AS listed
            FROM (SELECT page, ord, concat('P', ord % 9) AS name FROM {boxes} WHERE ord <= 9) b LEFT JOIN bay ON b.page = bay.page AND b.name = bay.name GROUP BY b.page""")
 def final_summary(get):
     name = F.concat(F.lit("P"), (F.col("ord") % 9).cast("string")).alias("name")
@@ -1060,17 +1060,17 @@ def final_summary(get):
 # ── runs, steps, cache, review ──────────────────────────────────────────────────────────────────────────────────────────────
 
 
-@_query("SELECT run_id, step, seq, kind, error FROM {step_log} QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY at DESC, seq DESC) = 1")
+@_query("SELECT run_id, step, seq, kind, error FROM {step_log} QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY secs DESC, seq DESC) = 1")
 def run_latest_state(get):
-    return runs.latest(get("step_log"), "run_id", "step", at="at").select("run_id", "step", "seq", "kind", "error")
+    return runs.latest(get("step_log"), "run_id", "step", at="secs").select("run_id", "step", "seq", "kind", "error")
 
 
 def _timed(get) -> DataFrame:
-    return get("step_log").withColumn("ts", F.timestamp_seconds("at"))
+    return get("step_log").withColumn("ts", F.timestamp_seconds("secs"))
 
 
-_STEPS = """e AS (SELECT run_id, step, arg_max(kind, at * 1000 + seq) AS kind, arg_max(coalesce(error, ''), at * 1000 + seq) AS error, max(at * 1000 + seq) FILTER (kind = 'start') AS b, max(at * 1000 + seq) FILTER (kind <> 'start') AS z,
-      arg_max(at, at * 1000 + seq) FILTER (kind = 'start') AS bt, arg_max(at, at * 1000 + seq) FILTER (kind <> 'start') AS zt FROM {step_log} GROUP BY run_id, step),
+_STEPS = """e AS (SELECT run_id, step, arg_max(kind, secs * 1000 + seq) AS kind, arg_max(coalesce(error, ''), secs * 1000 + seq) AS error, max(secs * 1000 + seq) FILTER (kind = 'start') AS b, max(secs * 1000 + seq) FILTER (kind <> 'start') AS z,
+      arg_max(secs, secs * 1000 + seq) FILTER (kind = 'start') AS bt, arg_max(secs, secs * 1000 + seq) FILTER (kind <> 'start') AS zt FROM {step_log} GROUP BY run_id, step),
     st AS (SELECT run_id, step, CASE kind WHEN 'start' THEN 'running' WHEN 'complete' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN z > b AND kind <> 'start' THEN CAST(zt - bt AS DOUBLE) END AS elapsed,
              CASE WHEN kind = 'fail' THEN error END AS error FROM e)"""
 
@@ -1148,8 +1148,8 @@ def append_new_crops(get):
     return runs.numbered_new(get("older").withColumn("idx", F.col("ord")), new).select("page", "ord", "idx")
 
 
-@_query("""WITH r AS (SELECT run_id, min(at) AS at FROM {step_log} GROUP BY run_id), a AS (SELECT run_id, min(at) AS at, arg_min(error, at) AS answer FROM {step_log} WHERE kind = 'fail' GROUP BY run_id)
-           SELECT r.run_id, CASE WHEN a.at <= r.at + 300 THEN 'answered' ELSE 'timed_out' END AS status, CASE WHEN a.at <= r.at + 300 THEN answer END AS answer FROM r LEFT JOIN a ON r.run_id = a.run_id""")
+@_query("""WITH r AS (SELECT run_id, min(secs) AS first FROM {step_log} GROUP BY run_id), a AS (SELECT run_id, min(secs) AS first, arg_min(error, secs) AS answer FROM {step_log} WHERE kind = 'fail' GROUP BY run_id)
+           SELECT r.run_id, CASE WHEN a.first <= r.first + 300 THEN 'answered' ELSE 'timed_out' END AS status, CASE WHEN a.first <= r.first + 300 THEN answer END AS answer FROM r LEFT JOIN a ON r.run_id = a.run_id""")
 def review_queue(get):
     requests = _timed(get).groupBy("run_id").agg(F.min("ts").alias("ts"))
     return runs.answered_requests(requests, _timed(get).where("kind = 'fail'").select("run_id", "ts", F.col("error").alias("answer")), 300)

@@ -51,7 +51,7 @@ FIXTURES = {
     "step_log": """
         SELECT concat('run', page) AS run_id, part % 5 + 1 AS step, ord AS seq,
                CASE supp % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' WHEN 2 THEN 'fail' ELSE 'start' END AS kind,
-               CASE WHEN supp % 4 = 2 THEN concat('code ', part % 7) END AS error, ord * 60 + part % 50 AS at
+               CASE WHEN supp % 4 = 2 THEN concat('code ', part % 7) END AS error, ord * 60 + part % 50 AS secs
         FROM {items}""",
     "runs": """
         SELECT concat('run', o_orderkey) AS run_id, concat('doc', o_custkey % 50) AS pdf_hash, o_orderdate AS created_at,
