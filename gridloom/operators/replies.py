@@ -15,6 +15,7 @@ from .folds import fold_groups
 
 # Where a reply may keep its names.
 NAME_KEYS = ("panel_names", "panel_bays", "names", "panels")
+AXES = ("x1", "y1", "x2", "y2")
 
 
 def tile_names(replies: DataFrame) -> DataFrame:
@@ -84,6 +85,36 @@ def bays(panels: DataFrame, replies: DataFrame, full: float = 2000, narrow: int
     return each.select("page", "name", (F.col("bay") + 1).alias("bay"), *[(F.col(f"b.{c}") + F.col(o)).alias(c) for c, o in at.items()])
 
 
+def missing_regions(replies: DataFrame) -> DataFrame:
+    """replies (page, w, h, reply) -> (page, ord, corners): regions a detection reply calls missing; the whole page for full_page; none if it doesn't parse."""
+    json = X.json_text(F.col("reply"))
+    own = replies.withColumns({"full": F.coalesce(F.get_json_object(json, "$.full_page") == "true", F.lit(False)), "missing": F.get_json_object(json, "$.missing")})
+    found = F.from_json("missing", "array<struct<polygon:array<double>,note:string>>")
+    listed = F.coalesce(F.transform(found, lambda m: m["polygon"]), F.array().cast("array<array<double>>"))
+    whole = B.page_polygon(F.col("w"), F.col("h"))
+    each = own.select("page", "w", "h", F.posexplode(F.when(F.col("full"), F.array(whole)).otherwise(listed)).alias("ord", "polygon"))
+    each = each.withColumn("around", B.polygon_to_box(B.scaled(F.col("polygon"), F.col("w"), F.col("h")), F.col("w"), F.col("h")))
+    return each.where("around is not null").select("page", F.col("ord").cast("long").alias("ord"), *[F.col(f"around.{c}").cast("long").alias(c) for c in AXES])
+
+
+def dropped_regions(replies: DataFrame) -> DataFrame:
+    """(page, ord): regions a detection reply drops as not electrical."""
+    json = X.json_text(F.col("reply"))
+    found = F.from_json(F.get_json_object(json, "$.drop_non_electrical"), "array<struct<index:long,reason:string>>")
+    return replies.select("page", F.explode(found).alias("d")).select("page", F.col("d.index").alias("ord")).where("ord is not null").distinct()
+
+
+def crop_checks(replies: DataFrame) -> DataFrame:
+    """(page, ord, reply) -> (page, ord, is_clipped, clipped, excess, s_x1 ... s_y2): a crop check; nothing to do if it doesn't parse, nulls where it suggests no box."""
+    json = X.json_text(F.col("reply"))
+    listed = lambda key: F.coalesce(F.from_json(F.get_json_object(json, f"$.{key}"), "array<string>"), F.array().cast("array<string>"))
+    box = F.from_json(F.get_json_object(json, "$.suggested_box"), "struct<x1:double,y1:double,x2:double,y2:double>")
+    return replies.select(
+        "page", "ord", F.coalesce(F.get_json_object(json, "$.is_clipped") == "true", F.lit(False)).alias("is_clipped"), listed("clipped_edges").alias("clipped"),
+        listed("excess_edges").alias("excess"), *[box[c].cast("long").alias(f"s_{c}") for c in AXES],
+    )
+
+
 def materials(replies: DataFrame) -> DataFrame:
     """(page, name, line, cells): the rows of the markdown table in each reply, without its head and rule."""
     lines = replies.select("page", "name", F.posexplode(F.split("reply", "\n")).alias("line", "text")).withColumn("text", F.trim("text"))
@@ -94,9 +125,6 @@ def materials(replies: DataFrame) -> DataFrame:
     return out.join(head, ["page", "name"]).where(F.col("line") > F.col("head")).select("page", "name", "line", "cells")
 
 
-AXES = ("x1", "y1", "x2", "y2")
-
-
 def settled(name: tuple, rows: list[tuple], w: int, h: int) -> tuple[tuple, float, str, int] | None:
     """One panel's replies in order to its box, confidence, status and the number of attempts; None if nothing is left.
 

@@ -1299,3 +1299,53 @@ def verify_loop_replay(get):
     )
     names = b.groupBy("page", F.concat(F.lit("P"), (F.col("ord") % 3).cast("string")).alias("name")).agg(*[F.expr(f"min_by({v}, ord)").alias(f"n_{c}") for c, v in (("x1", "x1 + 2"), ("y1", "y1 + 2"), ("x2", "x1 + 8"), ("y2", "y1 + 8"))])
     return replies.verified_panels(attempts, names, PAGE_W, PAGE_H)
+
+
+def _detections(get) -> DataFrame:
+    one = F.struct(F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")]).alias("polygon"), F.lit("seen").alias("note"))
+    gone = F.when(F.col("part") % 4 == 0, F.struct(F.col("ord").alias("index"), F.lit("a table").alias("reason")))
+    said = F.to_json(F.struct((F.first("page") % 5 == 0).alias("full_page"), F.sort_array(F.collect_list(one)).alias("missing"), F.collect_list(gone).alias("drop_non_electrical")))
+    reply = F.when(F.col("page") % 7 == 0, F.lit("no idea")).otherwise(F.concat(F.lit("```json\n"), "said", F.lit("\n```")))
+    asked = get("boxes").where("ord <= 8").groupBy("page").agg(said.alias("said")).withColumn("reply", reply)
+    return asked.join(get("pages"), "page")
+
+
+@_query(f"""SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY x1, y1, x2, y2) - 1 AS BIGINT) AS ord, x1, y1, least(x2, {PAGE_W}) AS x2, least(y2, {PAGE_H}) AS y2 FROM {{boxes}} WHERE ord <= 8 AND page % 7 > 0 AND page % 5 > 0
+            UNION ALL SELECT page, 0, 0, 0, {PAGE_W}, {PAGE_H} FROM {{pages}} WHERE page % 7 > 0 AND page % 5 = 0 AND page IN (SELECT page FROM {{boxes}} WHERE ord <= 8)""")
+def missing_regions_replay(get):
+    return replies.missing_regions(_detections(get))
+
+
+@_query("SELECT page, ord FROM {boxes} WHERE ord <= 8 AND page % 7 > 0 AND part % 4 = 0")
+def dropped_regions_replay(get):
+    return replies.dropped_regions(_detections(get))
+
+
+@_query("""SELECT page, ord, part % 3 = 0 AS is_clipped, CASE WHEN part % 3 = 0 THEN 'left,top' ELSE '' END AS edges, CASE WHEN part % 3 = 0 THEN x1 - 4 END AS s_x1 FROM {boxes} WHERE part % 3 < 2
+           UNION ALL SELECT page, ord, false, '', NULL FROM {boxes} WHERE part % 3 = 2""")
+def crop_check_replay(get):
+    said = F.format_string('ok {"is_clipped": true, "clipped_edges": ["left", "top"], "excess_edges": [], "suggested_box": {"x1": %d, "y1": 1, "x2": 2, "y2": 3}}', F.col("x1") - 4)
+    reply = F.when(F.col("part") % 3 == 0, said).when(F.col("part") % 3 == 1, F.lit('{"is_clipped": false}')).otherwise(F.lit("?"))
+    got = replies.crop_checks(get("boxes").select("page", "ord", reply.alias("reply")))
+    return got.select("page", "ord", "is_clipped", F.array_join("clipped", ",").alias("edges"), "s_x1")
+
+
+@_query("""WITH h AS (SELECT l.page, c.ord AS idx, l.content AS name, length(l.content) / greatest(length(trim(l.content)), 1) AS ratio, l.ord, l.x1 - c.x1 AS x1, l.y1 - c.y1 AS y1 FROM {lines} l JOIN {older} c ON l.page = c.page
+             WHERE (l.x1 + l.x2) / 2 BETWEEN c.x1 AND c.x2 AND (l.y1 + l.y2) / 2 BETWEEN c.y1 AND c.y2)
+           SELECT page, idx, max(ratio) AS ratio, count(*) AS n, min(x1) AS x1, min(y1) AS y1 FROM h GROUP BY page, idx""")
+def hits_by_crop(get):
+    from gridloom.sources import files
+
+    hits = get("lines").select("page", F.col("content").alias("name"), F.trim("content").alias("found"), *CORNERS)
+    ranked = files.hits_by_crop(hits, get("older").withColumnRenamed("ord", "idx"))
+    return ranked.groupBy("page", "idx").agg(F.max("ratio").alias("ratio"), F.count(F.lit(1)).alias("n"), F.min("x1").alias("x1"), F.min("y1").alias("y1"))
+
+
+@_query(f"""SELECT b.page, concat('<svg xmlns="http://www.w3.org/2000/svg" width="{PAGE_W}" height="{PAGE_H}"><image href="p', b.page, '.png"/>',
+              string_agg(printf('<polygon points="%.1f,%.1f %.1f,%.1f %.1f,%.1f %.1f,%.1f" fill="none" stroke="#f00"/>', x1 * 1.0, y1 * 1.0, x2 * 1.0, y1 * 1.0, x2 * 1.0, y2 * 1.0, x1 * 1.0, y2 * 1.0), '' ORDER BY b.ord), '</svg>') AS value
+            FROM {{boxes}} b WHERE b.ord <= 3 GROUP BY b.page""")
+def region_overlays(get):
+    from gridloom.sources import files
+
+    drawn = get("boxes").where("ord <= 3").select("page", "ord", B.box_to_polygon(B.box()).alias("polygon"), F.lit("#f00").alias("color"))
+    return files.overlays(drawn, get("pages").withColumn("image", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png"))))

@@ -109,3 +109,12 @@ def hits_by_crop(hits: DataFrame, crops_: DataFrame) -> DataFrame:
     ratio = F.length("h.name") / F.greatest(F.length("h.found"), F.lit(1))
     own = own.select("h.page", "c.idx", "h.name", ratio.alias("ratio"), *[v.alias(n) for n, v in moved._asdict().items()])
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("page", "idx").orderBy(F.desc("ratio"), "name")))
+
+
+def overlays(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """regions (page, ord, polygon, color), pages (page, w, h, image) -> (page, value): an SVG text of their outlines over the page image."""
+    points = F.array_join(F.transform(F.sequence(F.lit(1), F.size("polygon"), F.lit(2)), lambda i: F.format_string("%.1f,%.1f", F.element_at("polygon", i), F.element_at("polygon", i + 1))), " ")
+    one = F.format_string('<polygon points="%s" fill="none" stroke="%s"/>', points, F.col("color"))
+    drawn = regions.select("page", "ord", one.alias("s")).groupBy("page").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "s")))["s"], "").alias("body"))
+    head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d"><image href="%s"/>', "w", "h", "image")
+    return pages.join(drawn, "page").select("page", F.concat(head, "body", F.lit("</svg>")).alias("value"))
