@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import boxes as B
 from gridloom.functions import text as X
 from gridloom.operators import matching, regions, replies, rulings, runs, spatial, tiling, validation
+from gridloom.sources.scratch import keep
 
 from .fixtures import PAGE_H, PAGE_W, fixture, oracle
 
@@ -821,17 +822,18 @@ def match_all_passes_b(get):
     return _all_hits(get)
 
 
-def _hit_texts(get) -> DataFrame:
-    """The text of each hit: the contents of its lines."""
-    text = get("lines").select("page", F.col("ord").alias("line"), "content")
-    each = _all_hits(get).select("page", "name", "hit_ord", *CORNERS, F.posexplode("lines").alias("at", "line")).join(text, ["page", "line"])
-    joined = each.groupBy("page", "name", "hit_ord", *CORNERS).agg(F.sort_array(F.collect_list(F.struct("at", "content"))).alias("parts"))
-    return joined.select("page", "name", "hit_ord", *CORNERS, F.array_join(F.col("parts.content"), " ").alias("found"))
+def _hits_and_texts(get) -> tuple[DataFrame, DataFrame]:
+    """All hits, written once as both are read, and the text of each: the contents of its lines."""
+    from .extraction import texts_of
+
+    hits = keep(_all_hits(get), "hits")
+    return hits, texts_of(hits, get("lines"))
 
 
 @_query()
 def bbox_conflict_winner(get):
-    return matching.conflict_winners(_all_hits(get), _hit_texts(get).drop("hit_ord"))
+    hits, texts = _hits_and_texts(get)
+    return matching.conflict_winners(hits, texts.drop("hit_ord"))
 
 
 #: One winner for each box, on simple hits that SQL can make as well.
@@ -847,8 +849,8 @@ def bbox_conflict_winner_simple(get):
 
 @_query()
 def multi_position(get):
-    hits = _all_hits(get)
-    return matching.single_positions(hits, get("lines"), _hit_texts(get).select("page", "name", "hit_ord", "found")).select("page", "name", "hit_ord", "penalty", "clear")
+    hits, texts = _hits_and_texts(get)
+    return matching.single_positions(hits, get("lines"), texts.select("page", "name", "hit_ord", "found")).select("page", "name", "hit_ord", "penalty", "clear")
 
 
 @_query()
