@@ -55,10 +55,14 @@ def strip_zeros(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[a-z])0+(\d)", "$1")
 
 
+def folded(bare: Column) -> Column:
+    """With o, l and i as the digits they are taken for."""
+    return F.translate(bare, "oli", "011")
+
+
 def alike(a: Column, b: Column) -> Column:
     """a, b: alphanumeric forms without leading zeros. Of three characters at least and equal but for o/0, l/1, i/1."""
-    same = (a == b) | (F.translate(a, "oli", "011") == F.translate(b, "oli", "011"))
-    return (F.least(F.length(a), F.length(b)) >= 3) & same
+    return (F.least(F.length(a), F.length(b)) >= 3) & (folded(a) == folded(b))
 
 
 def _differences(a: Column, b: Column) -> Column:
@@ -68,8 +72,8 @@ def _differences(a: Column, b: Column) -> Column:
 
 
 def _one_confused(a: Column, b: Column, pairs: list[str]) -> Column:
-    found = _differences(a, b)
-    return (F.size(found) == 1) & F.coalesce(F.get(found, F.lit(0)).isin(pairs), F.lit(False))
+    """Of strings of equal length. An edit distance of one is then one unlike character; only where it is one are the characters looked at."""
+    return (F.levenshtein(a, b, 1) == 1) & F.coalesce(F.get(_differences(a, b), F.lit(0)).isin(pairs), F.lit(False))
 
 
 def _both_ways(table: dict[str, str]) -> list[str]:
@@ -90,7 +94,7 @@ def confused(a: Column, b: Column, least: int = 4, need_digits: bool = True) ->
 
 def one_apart(a: Column, b: Column, least: int = 3) -> Column:
     """Of equal length, with one unlike character at most."""
-    return (F.length(a) >= least) & (F.length(a) == F.length(b)) & (F.size(_differences(a, b)) <= 1)
+    return (F.length(a) >= least) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 1) >= 0)
 
 
 def guard_close(a: Column, b: Column) -> Column:

@@ -42,7 +42,7 @@ def _reading_order(lines: DataFrame) -> DataFrame:
 def stacks(lines: DataFrame, most: int) -> DataFrame:
     """Runs of 2 to ``most`` lines that follow each other in reading order: page, place, n, ls (array of line structs)."""
     w = Window.partitionBy("page").orderBy("place")
-    row = F.struct("ord", "content", "normed", *CORNERS)
+    row = F.struct("ord", "content", "alpha", *CORNERS)
     ahead = _reading_order(lines).withColumn("run", F.array(*[F.lead(row, k).over(w) if k else row for k in range(most)]))
     ahead = ahead.withColumn("run", F.filter("run", lambda r: r.isNotNull()))
     return ahead.select("page", "place", F.explode(F.sequence(F.lit(2), F.greatest(F.size("run"), F.lit(2)))).alias("n"), "run").where(F.col("n") <= F.size("run")).select(
@@ -55,10 +55,6 @@ def _union_box(ls: Column) -> list[Column]:
     return [pick("x1", F.array_min), pick("y1", F.array_min), pick("x2", F.array_max), pick("y2", F.array_max)]
 
 
-def _joined_text(ls: Column, field: str) -> Column:
-    return F.array_join(F.transform(ls, lambda r: r[field]), " ")
-
-
 # ── the simple matcher ──────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
@@ -82,9 +78,11 @@ def first_pass_matches(names: DataFrame, lines: DataFrame, max_merge: int = 3) -
         "n.page", "n.name", F.col("n.ord").alias("name_ord"), passes.alias("method"), F.col("l.ord").alias("ord"), F.array("l.content").alias("source"), *[F.col(f"l.{c}").alias(c) for c in CORNERS]
     )
     single = single.where("method is not null")
-    runs = stacks(prepared(lines, "content"), max_merge + 1)
-    merged = prepared(runs.select("page", "place", "n", "ls", _joined_text(F.col("ls"), "content").alias("content")), "content").alias("m")
-    several = n.join(merged, (F.col("n.page") == F.col("m.page")) & X.alike(F.col("n.bare"), F.col("m.bare")))
+    # what a run of lines reads like is its lines' letters and digits one after the other, so being alike is an equality to join on
+    runs = stacks(prepared(lines, "content"), max_merge + 1).withColumn("bare", X.strip_zeros(F.array_join(F.transform("ls", lambda r: r["alpha"]), "")))
+    merged = runs.withColumn("folded", X.folded(F.col("bare"))).where(F.length("bare") >= 3).alias("m")
+    asked = prepared(names, "name").withColumn("folded", X.folded(F.col("bare"))).alias("n")
+    several = asked.join(merged, (F.col("n.page") == F.col("m.page")) & (F.col("n.folded") == F.col("m.folded")))
     several = several.select(
         "n.page", "n.name", F.col("n.ord").alias("name_ord"), F.lit("multi_line_merge").alias("method"), (F.col("m.place") * 100 + F.col("m.n")).cast("long").alias("ord"),
         F.transform("m.ls", lambda r: r["content"]).alias("source"), *_union_box(F.col("m.ls"))
@@ -111,16 +109,17 @@ def best_without_conflict(matches: DataFrame) -> DataFrame:
 
     The others get their best match with another box, which isn't contested again.
     """
-    w = Window.partitionBy("page", "name").orderBy(F.desc("confidence"), "ord")
-    best = matches.withColumn("rank", F.row_number().over(w))
-    top = best.where("rank = 1")
-    claim = Window.partitionBy("page", *CORNERS).orderBy(F.desc("confidence"), "name_ord")
-    top = top.withColumn("wins", F.row_number().over(claim) == 1)
-    keeps = top.where("wins").select(*matches.columns)
-    loses = top.where("NOT wins").select("page", "name", F.struct(*CORNERS).alias("lost"))
-    rest = matches.join(loses, ["page", "name"]).where(F.struct(*CORNERS) != F.col("lost"))
-    rest = rest.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*matches.columns)
-    return keeps.unionByName(rest)
+    name = Window.partitionBy("page", "name")
+    order = name.orderBy(F.desc("confidence"), "ord")
+    box = F.struct(*CORNERS)
+    ranked = matches.withColumns({"_rank": F.row_number().over(order), "_best": F.first(box).over(order)})
+    claim = Window.partitionBy("page", *CORNERS, F.col("_rank") == 1).orderBy(F.desc("confidence"), "name_ord")
+    ranked = ranked.withColumn("_claim", F.row_number().over(claim))
+    wins = F.max((F.col("_rank") == 1) & (F.col("_claim") == 1)).over(name)
+    other = Window.partitionBy("page", "name", F.col("_other")).orderBy("_rank")
+    ranked = ranked.withColumn("_wins", wins).withColumn("_other", box != F.col("_best")).withColumn("_next", F.row_number().over(other))
+    stays = (F.col("_wins") & (F.col("_rank") == 1)) | (~F.col("_wins") & F.col("_other") & (F.col("_next") == 1))
+    return ranked.where(stays).select(*matches.columns)
 
 
 # ── the full matcher: all passes, one page at a time ────────────────────────────────────────────────────────────────────────
