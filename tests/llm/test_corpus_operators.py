@@ -15,6 +15,7 @@ from gridloom.llm import (
     packing,
     piece_codec,
     quality_gam,
+    shingle_dedup,
     simhash_dedup,
     suffix_dedup,
     toxicity_lm,
@@ -158,6 +159,71 @@ def test_near_groups_handle_odd_rows(spark):
     assert kept.columns[-1] == "fp"
 
 
+def near_copies(seed, groups, size):
+    """Groups of texts that differ in some words each, so that their similarities lie around .8."""
+    rng, texts = random.Random(seed), []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(size):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(0, 5)):
+                words[at] = f"x{rng.random()}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def plain_components(texts, words=5, similarity=0.8):
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in ((t or "").lower().split() for t in texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("block", [100, 4])
+def test_shingle_groups_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_dedup, "BLOCK", block)
+    texts = near_copies(1, 12, 9) + ["one two", "One  two", "one", None, ""]
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_groups(docs_of(spark, texts)).collect()}
+    least = plain_components(texts)
+    assert got == dict(enumerate(least)) and 12 < len(set(least)) < len(texts) - 20
+
+
+def test_links_across_find_what_no_leader_has(spark):
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(15, 115))), (3, list(range(20, 120))), (4, list(range(22, 122)))], "fp long, shingles array<long>")
+    members = sets.selectExpr("7L AS key", "fp", "cast(size(shingles) AS long) AS n")
+    led = shingle_dedup._leader_links(members, sets, 0.8)
+    assert not led.collect()
+    found = shingle_dedup._links_across(members, graph.components(led), sets, 0.8)
+    assert {r.node: r.root for r in graph.components(found).collect()} == {3: 2, 4: 2}
+
+
+def test_shingle_groups_handle_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    ids = [9, 4, 3, 8, 1, None, 4]
+    texts = [base, base + " tail", None, "", "other words here", base, base]
+    rows = {(r.doc_id, r.component_id) for r in shingle_dedup.near_groups(docs_of(spark, texts, ids)).collect()}
+    assert rows == {(9, 4), (4, 4), (3, 3), (8, 3), (1, 1), (None, 4)}
+    kept = shingle_dedup.drop_near_copies(docs_of(spark, texts, ids))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "4", "None"] and kept.columns[-1] == "fp"
+    assert not shingle_dedup.drop_near_copies(empty(spark)).collect()
+
+
+def test_pipeline_drops_copies_of_five_word_similarity(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    copy = list(words)
+    for at in (30, 80, 130):
+        copy[at] = f"other{at}"
+    texts = [" ".join(words), " ".join(copy), "something else"]
+    assert plain_components(texts) == [0, 0, 2] and (simhash_dedup.fingerprint(texts[0]) ^ simhash_dedup.fingerprint(texts[1])).bit_count() > 3
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs_of(spark, texts), "").collect()) == [0, 2]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
