@@ -42,12 +42,17 @@ def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.orderBy(order, *key).limit(rows)
 
 
-def bounded_labels(labels: DataFrame, column: str, rows: int, parts: int, held_out: int) -> DataFrame:
-    """(doc_id, label) of at most ``rows`` labelled documents outside the held-out fold, in the order of a hash of the id.
+def usable_labels(labels: DataFrame, column: str, parts: int, held_out: int) -> DataFrame:
+    """(doc_id, label) of the labelled documents outside the held-out fold.
 
     Rows without id or label don't count; contradictory repeated labels count as the larger one.
     """
     usable = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (id_remainder(F.col("doc_id"), parts) != held_out)
     )
-    return hash_sample(usable.groupBy("doc_id").agg(F.max("label").alias("label")), rows, "doc_id")
+    return usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def bounded_labels(labels: DataFrame, column: str, rows: int, parts: int, held_out: int) -> DataFrame:
+    """At most ``rows`` of the usable labels, in the order of a hash of the id."""
+    return hash_sample(usable_labels(labels, column, parts, held_out), rows, "doc_id")

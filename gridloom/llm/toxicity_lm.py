@@ -9,8 +9,9 @@ neither class has seen the context, both say the same.
 A text's evidence is its log-likelihood under the toxic model less that under the ordinary one, by character: of the whole text, and of
 its most telling words. Small boosted trees turn that into a probability; they are fitted on documents that the counts don't hold.
 
-The classes' counts and the trees come from at most ``SAMPLE`` labelled documents in the order of a hash of the id; that sample is broadcast.
-The shared counts cover every document; what reaches the driver of them are at most SYMBOLS**3 rows.
+The classes' counts come from every labelled document outside the held-out fold but those that the trees learn from, which are at most
+``SAMPLE / CALIBRATE`` in the order of a hash of the id; only these are broadcast. The shared counts cover every document. What reaches the driver
+is a row for each different gram of the labelled documents (at most SYMBOLS**5, in prose a small part of that), and at most SYMBOLS**3 shared ones.
 
 Defined results: a null or empty text, or one without letters, has no evidence and is scored like any such text; repeated rows are scored
 each; a document without id is never learned from nor held out; without labels of both classes the score is the smoothed share of
@@ -28,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosted_trees import BoostedTrees
-from .merge_rounds import MergeTable
 from .piece_codec import _portions
-from .shared import bounded_labels, id_remainder
+from .shared import hash_sample, id_remainder, usable_labels
 
 SAMPLE = 30_000
 FOLDS, HELD_OUT = 5, 0
@@ -38,10 +38,8 @@ ACCEPT = 0.5
 SYMBOLS, BITS = 64, 6
 #: Symbols before the next one that the classes' models know; the shared model knows two.
 CONTEXT = 4
-#: Every CALIBRATE-th document of the sample is kept from the counts, for the trees.
+#: Every CALIBRATE-th labelled document may be kept from the counts, for the trees; SAMPLE / CALIBRATE at most are.
 CALIBRATE = 3
-#: Counts of the classes below this are left to the discount.
-LEAST = 2
 
 
 def _symbol_table() -> np.ndarray:
@@ -93,14 +91,18 @@ def _events(s: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     """Evidence of seen grams and of seen contexts (for unseen grams), and the trees."""
 
-    grams: MergeTable
-    contexts: MergeTable
+    grams: np.ndarray
+    contexts: np.ndarray
     values: np.ndarray
     trees: BoostedTrees
 
-    def _found(self, table: MergeTable, keys: np.ndarray) -> np.ndarray:
-        got = table.pair(keys >> 24, keys & 0xFFFFFF)
-        return np.where(got >> 32 < table.none, got & 0xFFFFFFFF, -1)
+    def _found(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in the sorted table, -1 where it isn't."""
+        if not len(table):
+            return np.full(len(keys), -1)
+        keys = keys.astype(table.dtype)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, at, -1)
 
     def evidence(self, s: np.ndarray) -> np.ndarray:
         """Of each place; 0 where nothing is known."""
@@ -108,7 +110,8 @@ class ToxicityModel:
         keys = _grams(s, CONTEXT)[at]
         hit = self._found(self.grams, keys)
         miss = np.flatnonzero(hit < 0)
-        hit[miss] = self._found(self.contexts, keys[miss] >> BITS)
+        back = self._found(self.contexts, keys[miss] >> BITS)
+        hit[miss] = np.where(back < 0, -1, back + len(self.grams))
         out[at] = self.values[hit]
         return out
 
@@ -177,8 +180,8 @@ def shared_model(counts: np.ndarray) -> np.ndarray:
     return _interpolated(counts, _interpolated(two, base[None, :])[None, :, :])
 
 
-def _class_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of the sample's counted part, and their counts by class [gram, class]."""
+def _class_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all documents of ``labels`` (doc_id, label), and their counts by class [gram, class]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +193,10 @@ def _class_counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nd
                 keys, n = np.unique(_grams(s, CONTEXT)[where] * 2 + label[where], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample.where("NOT fit")), "doc_id")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(labels, "doc_id")
     got = own.select("text", "label").mapInArrow(run, "key long, n long")
     both = got.groupBy(F.shiftright("key", 1).alias("gram")).agg(*[F.sum(F.when(F.col("key") % 2 == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    found = both.where(F.col("n0") + F.col("n1") >= LEAST).orderBy("gram").toArrow()
+    found = both.withColumn("gram", F.col("gram").cast("int")).orderBy("gram").toArrow()  # five symbols of six bits
     return found["gram"].to_numpy(), np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()], axis=1)
 
 
@@ -204,7 +207,7 @@ def build(grams: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> Toxicity
     logs, weights = [], []
     for c in (0, 1):
         n = counts[:, c].astype(float)
-        ones, twos = (n == LEAST).sum(), (n == LEAST + 1).sum()
+        ones, twos = (n == 1).sum(), (n == 2).sum()
         d = ones / (ones + 2 * twos) if ones else 0.5
         total = np.bincount(inverse, n, len(context))
         freed = d * np.bincount(inverse, n > 0, len(context))
@@ -212,13 +215,14 @@ def build(grams: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> Toxicity
         logs.append(np.log(np.where(total[inverse] > 0, np.maximum(n - d, 0) / np.maximum(total[inverse], 1), 0) + weight[inverse] * backoff))
         weights.append(np.log(np.maximum(weight, 1e-9)))
     values = np.concatenate([logs[1] - logs[0], weights[1] - weights[0], [0.0]])  # the last stands for what is unknown
-    split = lambda keys, first: MergeTable({(int(k) >> 24, int(k) & 0xFFFFFF): (0, first + i) for i, k in enumerate(keys)})
-    return ToxicityModel(split(grams, 0), split(context, len(grams)), values, BoostedTrees(rounds=80, depth=3, rate=0.15))
+    return ToxicityModel(grams.astype(np.int32), context.astype(np.int32), values, BoostedTrees(rounds=80, depth=3, rate=0.15))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    chosen = bounded_labels(labels, "toxic", sample, FOLDS, HELD_OUT).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) == 0)
-    model = build(*_class_counts(docs, chosen), shared_model(_shared_counts(docs)))
+    usable = usable_labels(labels, "toxic", FOLDS, HELD_OUT)
+    chosen = hash_sample(usable.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)) == 0), sample // CALIBRATE, "doc_id")
+    counted = usable.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    model = build(*_class_counts(docs, counted), shared_model(_shared_counts(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
                 found = model.features(part.column(0).to_pylist()).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.where("fit")), "doc_id")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = sorted(own.select("text", "label").mapInArrow(run, "label int, x array<double>").collect())
     x, y = np.array([r.x for r in rows]).reshape(-1, 6), np.array([r.label for r in rows], dtype=float)
     model.trees.fit(x, y)

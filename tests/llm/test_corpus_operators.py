@@ -573,6 +573,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert not {p.doc_id for p in pieces if p.doc_id is not None and p.doc_id >= 1000}
 
 
+def test_toxicity_counts_every_labelled_document(spark, monkeypatch):
+    texts = [f"common words and a{chr(97 + i % 26)}q{chr(97 + i // 26)}" for i in range(120)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
+    seen, build = [], toxicity_lm.build
+    monkeypatch.setattr(toxicity_lm, "build", lambda grams, counts, shared: seen.append((grams, counts)) or build(grams, counts, shared))
+    model = toxicity_lm.train(docs_of(spark, texts), labels, 6)  # two documents for the trees
+    grams, counts = seen[0]
+    n_words = counts[np.isin(grams, toxicity_lm._grams(toxicity_lm.symbols([" common"])[0], 4)[-1:])].sum()
+    assert n_words == 120 - len(held) - 2 and (counts.sum(axis=1) == 1).any() and len(model.grams) == len(grams)
+    assert model._found(model.grams, grams.astype(np.int64)).tolist() == list(range(len(grams)))
+    assert (model._found(model.grams, np.array([1 << 29])) == -1).all()
+
+
 def test_queries_are_registered():
     from gridloom.llm import queries
 
