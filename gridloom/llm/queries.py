@@ -49,14 +49,18 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.without_repeats(corpus(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.aggregate("_removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    """Beside the contract's columns: how many passages repeat (runs of 50 words, most of them under 400 bytes), and the text without them."""
+    docs = corpus(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.without_repeats(docs, passage=suffix_dedup.PASSAGE)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return out.select(
         "doc_id",
-        F.col("_n_bytes").alias("n_bytes"),
+        "n_bytes",
         gone.alias("n_removed"),
-        F.size("_removed").cast("long").alias("n_spans"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.col("left_over").alias("text"),
     )
 
 

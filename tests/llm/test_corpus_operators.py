@@ -1,11 +1,13 @@
 """Corpus operators against brute force, round trips and held-out labels, on small tables with nulls, empties, ties and repeated rows."""
 
+import collections
 import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import (
     chat_format,
@@ -358,42 +360,80 @@ def test_merge_rounds_merge_in_sequential_order():
 # ── repeated strings ────────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
-def removed_by_definition(texts, span):
-    seen = {}
-    for x in texts:
-        for j in range(len(x) - span + 1):
-            seen[x[j : j + span]] = seen.get(x[j : j + span], 0) + 1
+def words_and_passages(rnd):
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(2, 8)))
+    return word, [" ".join(word() for _ in range(n)) for n in (70, 90, 200)]
+
+
+def texts_with_repeats(seed):
+    rnd = random.Random(seed)
+    word, passage = words_and_passages(rnd)
+    texts = [None, "", "short", "x" * 399, "y" * 400, "z" * 401, "ab" * 900, passage[2], passage[2]]
+    for _ in range(40):
+        parts = [" ".join(word() for _ in range(rnd.randrange(40)))]
+        for _ in range(rnd.randrange(3)):
+            p = rnd.choice(passage)
+            cut = rnd.randrange(len(p) // 3)
+            parts += [p[cut:], " ".join(word() for _ in range(rnd.randrange(30)))]
+        texts.append(" ".join(parts))
+    return texts
+
+
+def ranges_of(mask):
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def covered_by_definition(texts, span):
+    seen = collections.Counter(x[j : j + span] for x in texts for j in range(len(x) - span + 1))
     out = []
     for x in texts:
         gone = np.zeros(len(x), dtype=bool)
         for j in range(len(x) - span + 1):
             if seen[x[j : j + span]] > 1:
                 gone[j : j + span] = True
-        out.append(bytes(np.frombuffer(x, dtype=np.uint8)[~gone]))
+        out.append(ranges_of(gone))
     return out
 
 
-@pytest.mark.parametrize("crowd", [200, 3])
+@pytest.mark.parametrize("crowd", [1 << 14, 3])
 def test_repeats_agree_with_the_definition(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    rnd = random.Random(9)
-    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randrange(2, 8)))
-    passage = [" ".join(word() for _ in range(n)) for n in (70, 90, 200)]
-    texts = [None, "", "short", "x" * 399, "y" * 400, "z" * 401, "ab" * 900, passage[2], passage[2]]
-    for _ in range(40):
-        parts = [" ".join(word() for _ in range(rnd.randrange(40)))]
-        for _ in range(rnd.randrange(3)):
-            p = rnd.choice(passage)
-            cut = rnd.randrange(len(p) // 3)
-            parts += [p[cut:], " ".join(word() for _ in range(rnd.randrange(30)))]
-        texts.append(" ".join(parts))
-    rows = suffix_dedup.without_repeats(docs_of(spark, texts)).collect()
-    want = removed_by_definition([(t or "").encode() for t in texts], 400)
-    assert {r.doc_id: bytes(r._kept) for r in rows} == dict(enumerate(want))
+    texts = texts_with_repeats(9)
+    raws = [(t or "").encode() for t in texts]
+    docs = docs_of(spark, texts).withColumns({c: F.lit(c) for c in ("doc", "t", "raw", "spans", "kept", "a.b", "_t")})
+    rows = suffix_dedup.without_repeats(docs, passage=150, words=30).collect()
+    want, short = covered_by_definition(raws, 400), covered_by_definition(raws, 150)
+    assert len(rows) == len(texts)
     for r in rows:
-        assert r._n_bytes - sum(s.end - s.start for s in r._removed) == len(r._kept) and r.fp == 7
-    kept = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs_of(spark, texts)).collect()}
-    assert kept == {i: (t if want[i] == (t or "").encode() else want[i].decode("utf-8", "ignore")) for i, t in enumerate(texts)}
+        raw = raws[r.doc_id]
+        assert (r.n_bytes, [tuple(s) for s in r.removed], r.fp, r["a.b"], r["t"]) == (len(raw), want[r.doc_id], 7, "a.b", "t")
+        assert bytes(r.kept) == suffix_dedup._without(raw, want[r.doc_id])
+        assert [tuple(s) for s in r.passages] == [(a, b) for a, b in short[r.doc_id] if b - a >= 400 or len(raw[a:b].split()) >= 30]
+    kept = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs, 150, 0).select("doc_id", "text").collect()}
+    assert kept == {i: suffix_dedup._without(raws[i], short[i]).decode("utf-8", "ignore") if short[i] else t for i, t in enumerate(texts)}
+
+
+def test_repeats_at_one_span(spark):
+    texts = texts_with_repeats(10)
+    raws = [(t or "").encode() for t in texts]
+    for span in (60, 400):
+        rows = suffix_dedup.without_repeats(docs_of(spark, texts), span).collect()
+        want = covered_by_definition(raws, span)
+        assert {r.doc_id: [tuple(s) for s in r.removed] for r in rows} == dict(enumerate(want))
+
+
+def test_a_crowd_of_one_passage(spark, monkeypatch):
+    """A passage in a thousand different texts: runs leave the sorter, with few rows a text, and the same with crowds split."""
+    rnd = random.Random(12)
+    word, passage = words_and_passages(rnd)
+    texts = [f"{word()} {word()} {i} {passage[0]} {i} {word()}" for i in range(1000)]
+    raws = [t.encode() for t in texts]
+    want = dict(enumerate(covered_by_definition(raws, 150)))
+    for crowd in (1 << 14, 50):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        rows = suffix_dedup.without_repeats(docs_of(spark, texts), 150).collect()
+        assert {r.doc_id: [tuple(s) for s in r.removed] for r in rows} == want
 
 
 def test_stretches_of_a_long_text(spark, monkeypatch):
