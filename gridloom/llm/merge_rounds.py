@@ -13,6 +13,10 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 
+#: Pairs that are looked up at once.
+PORTION = 1 << 18
+
+
 class MergeTable:
     """pairs: (left, right) -> (rank, result), symbols and ranks small non-negative integers."""
 
@@ -46,7 +50,13 @@ class MergeTable:
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """rank << 32 | result of each pair; the rank ``none`` without one."""
-        key = (left << 32) | right
+        out = np.empty(len(left), dtype=np.int64)
+        for at in range(0, len(left), PORTION):  # so that a long word costs little more than its arrays
+            out[at : at + PORTION] = self._pair(left[at : at + PORTION], right[at : at + PORTION])
+        return out
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left.astype(np.int64) << 32) | right
         slot = self._slot(key)
         out = np.where(self.keys[slot] == key, self.value[slot], self.none << 32)
         open_ = np.flatnonzero((self.keys[slot] != key) & (self.keys[slot] != -1))
@@ -59,6 +69,32 @@ class MergeTable:
             open_ = open_[~hit & (self.keys[at] != -1)]
         return out
 
+    def merge_runs(self, sym: list[int], counts: list[int]) -> np.ndarray:
+        """The merged symbols of one word, given as runs of equal symbols: of any length, it takes no more memory than its result."""
+        runs = [[x, n] for x, n in zip(sym, counts)]
+        while True:
+            x, n = np.array(runs, dtype=np.int64).T
+            inside = np.where(n > 1, self.pair(x, x), self.none << 32)
+            between = np.append(self.pair(x[:-1], x[1:]), self.none << 32)
+            found = np.stack([inside, between], axis=1).reshape(-1)
+            at = int((found >> 32).argmin())  # the leftmost of equals
+            rank, made = int(found[at]) >> 32, int(found[at]) & 0xFFFFFFFF
+            if rank == self.none:
+                return np.repeat(x.astype(np.int32), n)
+            i, (own, count) = at // 2, runs[at // 2]
+            if at % 2:
+                runs[i : i + 2] = [[own, count - 1], [made, 1], [runs[i + 1][0], runs[i + 1][1] - 1]]
+            else:
+                times = count // 2 if self.at_once[rank] else 1
+                runs[i : i + 1] = [[made, times], [own, count - 2 * times]]
+            joined: list[list[int]] = []
+            for y, m in runs:
+                if joined and joined[-1][0] == y:
+                    joined[-1][1] += m
+                elif m:
+                    joined.append([y, m])
+            runs = joined
+
     def merge(self, sym: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """sym: the symbols (int64) of words of ``sizes`` symbols, none empty. The merged symbols, and each word's end among them."""
         n_words, nothing = len(sizes), self.none << 32
@@ -113,23 +149,37 @@ class MergeTable:
 
 
 class WordMemory:
-    """What was made of words, the last ``most`` or more of them; older ones that no batch has asked for since go."""
+    """What was made of words, about ``most`` bytes of it; older ones that no batch has asked for since go, and words over ``longest`` characters aren't kept."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 1_000_000):
-        self.make, self.most = make, most
+    #: Bytes that Python takes for an entry beside what it holds.
+    ENTRY = 240
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 48 << 20, longest: int = 1000):
+        self.make, self.most, self.longest = make, most, longest
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0  # of the new ones
+
+    def _keep(self, words: Iterable[str], made: Iterable[bytes]) -> None:
+        for w, x in zip(words, made):
+            self.new[w] = x
+            self.size += 2 * len(w) + len(x) + self.ENTRY
 
     def __call__(self, texts: list[list[str]]) -> list[bytes]:
         """For each list of words, what was made of them, joined."""
-        if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, {}
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, 0
         missing = set().union(*texts).difference(self.new)
         if self.old:
-            for w in [w for w in missing if w in self.old]:
-                self.new[w] = self.old[w]
-            missing.difference_update(self.new)
+            again = [w for w in missing if w in self.old]
+            self._keep(again, map(self.old.__getitem__, again))
+            missing.difference_update(again)
+        long = [w for w in missing if len(w) > self.longest]
+        missing.difference_update(long)
         if missing:
             words = list(missing)
-            self.new.update(zip(words, self.make(words)))
-        return [b"".join(map(self.new.__getitem__, ws)) for ws in texts]
+            self._keep(words, self.make(words))
+        if not long:
+            return [b"".join(map(self.new.__getitem__, ws)) for ws in texts]
+        once = dict(zip(long, self.make(long)))
+        return [b"".join(once[w] if len(w) > self.longest else self.new[w] for w in ws) for ws in texts]

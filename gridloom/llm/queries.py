@@ -39,13 +39,7 @@ def op5_toxicity_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = piece_codec.encoded(corpus(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return piece_codec.digests(corpus(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

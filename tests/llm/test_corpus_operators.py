@@ -632,3 +632,58 @@ def test_queries_are_registered():
 
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest()
+
+
+# ── long words ──────────────────────────────────────────────────────────────────────────────────────────────────────────────
+
+
+def test_long_words_are_coded_like_the_library_does():
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path)
+    rnd = random.Random(21)
+    for trial in range(60):
+        letters = rnd.choice(["a", "ab", "abcdefgh ", "éaß漢字", "the of and ", " ", "01", "=-_", "x😀", "\ta\n"])
+        text = "".join(rnd.choices(letters, k=rnd.choice([5, 900, 1100, 3000, 20000])))
+        if trial % 3 == 0:
+            text += rnd.choice("ab= ") * rnd.randrange(5000) + text[:30]
+        ids = own.encode([text])[0]
+        want = library.encode(text)
+        assert np.frombuffer(ids, "<i4").tolist() == want and own.decode(ids) == library.decode(want)
+        said = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, want)), library.decode(want))]
+        assert own.digests(ids) == (len(want), *said)
+
+
+def test_twenty_megabytes_without_spaces_stay_under_five_hundred():
+    """In a process of its own, which tells the most memory it took."""
+    import subprocess
+    import sys
+
+    path = tokenizer("piece_bpe_32k.model")
+    code = f"""
+import random, resource
+from gridloom.llm.piece_codec import PieceCodec
+own = PieceCodec({path!r})
+for text in ("a" * 20_000_000, "".join(random.Random(1).choices("abcdefghijKLMNOP0123+/", k=20_000_000))):
+    ids = own.encode([text])[0]
+    assert own.digests(ids)[0] == len(ids) // 4
+    if text[1] == "a":
+        few = own.encode([text[: 20_000_000 // 1024]])[0]
+        assert len(ids) > 500 * len(few)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert got.returncode == 0, got.stderr
+    assert int(got.stdout) < 500
+
+
+def test_word_memory_goes_by_bytes():
+    from gridloom.llm.merge_rounds import WordMemory
+
+    asked = []
+    memory = WordMemory(lambda words: (asked.extend(words), [w.encode() for w in words])[1], most=4000, longest=50)
+    for i in range(200):
+        assert memory([[f"w{i}", "x" * 60], ["often"]]) == [f"w{i}".encode() + b"x" * 60, b"often"]
+        assert memory.size <= 4000 and not any(len(w) > 50 for w in memory.new)
+    assert asked.count("often") == 1 and asked.count("x" * 60) == 200
