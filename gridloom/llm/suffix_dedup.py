@@ -37,8 +37,8 @@ from .shared import forget, keep, partitions, release_shuffles, whole_row
 
 #: Bytes of a string that may not occur twice.
 SPAN = 400
-#: A passage: a run of repeating strings of PASSAGE bytes that holds WORDS words, or SPAN bytes. So many words of three letters have more bytes.
-PASSAGE, WORDS = 150, 50
+#: A passage: a run of repeating strings of PASSAGE bytes that holds WORDS words, or SPAN bytes. WORDS words of three letters have as many.
+PASSAGE, WORDS = 200, 50
 #: Contexts of one gram that are sorted in one task.
 CROWD = 1 << 14
 #: Ranges that a crowd is split into.
