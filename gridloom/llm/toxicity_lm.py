@@ -1,20 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models of characters within words.
 
 A word is a run of letters in lower case; its characters map to ``SYMBOLS`` symbols, the boundary among them. Each class has a model of the
-next symbol after up to four: absolute discounting of the class's own counts, whose freed mass goes by a backoff model that both classes
-share. That one is interpolated Kneser-Ney over the next symbol after two, from continuation counts (before how many different
+next symbol after up to three: absolute discounting of the class's own counts, whose freed mass goes by a backoff model that both classes
+share. That one is interpolated Kneser-Ney over the next symbol after two, one and none, from continuation counts (before how many different
 symbols something stands) over all documents. A rare expression is so judged by what its class has seen of its parts, and where
 neither class has seen the context, both say the same.
 
-A text's evidence is its log-likelihood under the toxic model less that under the ordinary one, by character: of the whole text, and of
-its most telling words. Small boosted trees turn that into a probability; they are fitted on documents that the counts don't hold.
+Of each word the two log-likelihoods are compared; a text's evidence is the mean, over its words, of the likelihood ratio, as a logarithm: so it is
+normalised by length, and a few toxic words count in a long ordinary text. One logistic curve turns that number into a probability; it is fitted on
+documents that the counts don't hold.
 
-The classes' counts come from every labelled document outside the held-out fold but those that the trees learn from, which are at most
-``SAMPLE / CALIBRATE`` in the order of a hash of the id; only these are broadcast. The shared counts cover every document. What reaches the driver
-is a row for each different gram of the labelled documents (at most SYMBOLS**5, in prose a small part of that), and at most SYMBOLS**3 shared ones.
+The classes' counts come from every labelled document outside the held-out fold but those that the curve is fitted to, which are at most
+``SAMPLE / CALIBRATE`` in the order of a hash of the id; only these are broadcast. The shared counts cover every document. What reaches the driver, and
+goes to each worker with the model, is a row for each different gram of the labelled documents (at most SYMBOLS**4, in prose a small part of that: 8 bytes for
+the gram and 8 for its evidence), and at most SYMBOLS**3 shared ones.
 
 Defined results: a null or empty text, or one without letters, has no evidence and is scored like any such text; repeated rows are scored
-each; a document without id is never learned from nor held out; without labels of both classes the score is the smoothed share of
+each, and count each where their id is labelled, but only one of an id tells the curve; a document without id is never learned from nor held out; without labels of both classes the score is the smoothed share of
 label 1 (0.5 without any); other columns are ignored.
 """
 
@@ -28,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosted_trees import BoostedTrees
 from .piece_codec import _portions
 from .shared import hash_sample, id_remainder, usable_labels
 
@@ -36,10 +37,14 @@ SAMPLE = 30_000
 FOLDS, HELD_OUT = 5, 0
 ACCEPT = 0.5
 SYMBOLS, BITS = 64, 6
-#: Symbols before the next one that the classes' models know; the shared model knows two.
-CONTEXT = 4
-#: Every CALIBRATE-th labelled document may be kept from the counts, for the trees; SAMPLE / CALIBRATE at most are.
+#: Symbols before the next one that the classes' models know; the shared model knows one less.
+CONTEXT = 3
+#: Every CALIBRATE-th labelled document may be kept from the counts, for the curve; SAMPLE / CALIBRATE at most are.
 CALIBRATE = 3
+#: A word's log-likelihood ratio counts no further than this.
+MOST = 30.0
+#: Of the curve's two numbers.
+RIDGE = 0.01
 
 
 def _symbol_table() -> np.ndarray:
@@ -89,12 +94,12 @@ def _events(s: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """Evidence of seen grams and of seen contexts (for unseen grams), and the trees."""
+    """Evidence of seen grams and of seen contexts (for unseen grams), and the curve."""
 
     grams: np.ndarray
     contexts: np.ndarray
     values: np.ndarray
-    trees: BoostedTrees
+    curve: tuple[float, float] = (0.0, 0.0)  # log odds: first + second * evidence of a text
 
     def _found(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where each key is in the sorted table, -1 where it isn't."""
@@ -115,32 +120,39 @@ class ToxicityModel:
         out[at] = self.values[hit]
         return out
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """By character: the evidence of the whole text; of its most telling words, the summed evidence; and the number of letters."""
+    def of_texts(self, texts: list[str | None]) -> np.ndarray:
+        """The logarithm of the mean likelihood ratio of each text's words; 0 without words."""
         s, starts = symbols(texts)
-        if not len(s):
-            return np.zeros((0, 6))
-        e = self.evidence(s)
-        ends = np.append(starts[1:], len(s))
-        letters = np.add.reduceat((s > 0).astype(np.int64), starts)
-        whole = np.add.reduceat(e, starts)
-        begins = np.flatnonzero((s > 0) & ~np.append(False, s[:-1] > 0))
-        out = np.zeros((len(texts), 6))
-        out[:, 0] = whole / np.maximum(1, letters)
-        out[:, 1] = np.log1p(letters)
+        out = np.zeros(len(texts))
+        begins = np.flatnonzero((s > 0) & ~np.append(False, s[:-1] > 0)) if len(s) else np.empty(0, dtype=np.int64)
         if len(begins):
-            by_word = np.add.reduceat(e, begins)
-            first, last = np.searchsorted(begins, starts), np.searchsorted(begins, ends)
-            for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-                if b > a:
-                    most = by_word[a:b]
-                    top = np.sort(np.partition(most, -3)[-3:] if b - a > 3 else most)[::-1]
-                    out[i, 2 : 2 + len(top)] = top
-                    out[i, 5] = (most > 4).sum() / (b - a)
+            ratio = np.exp(np.clip(np.add.reduceat(self.evidence(s), begins), -MOST, MOST))
+            first = np.searchsorted(begins, starts)
+            last = np.append(first[1:], len(begins))
+            some = np.flatnonzero(last > first)
+            mean = np.add.reduceat(ratio, first[some]) / (last - first)[some]
+            out[some] = np.log(mean)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return self.trees.score(self.features(texts)) if texts else np.empty(0)
+        odds = self.curve[0] + self.curve[1] * self.of_texts(texts) if texts else np.empty(0)
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+
+    def fit_curve(self, evidence: np.ndarray, label: np.ndarray, rounds: int = 50) -> None:
+        """Logistic regression on one number, by Newton's steps, a little drawn to a flat curve; it never falls."""
+        shift, scale = (evidence.mean(), evidence.std() or 1.0) if len(evidence) else (0.0, 1.0)
+        x = np.stack([np.ones(len(evidence)), (evidence - shift) / scale], axis=1)
+        if len(set(label.tolist())) < 2:
+            share = (label.sum() + 1) / (len(label) + 2)
+            self.curve = float(np.log(share / (1 - share))), 0.0
+            return
+        w = np.zeros(2)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            slope = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+            w -= np.linalg.solve(slope, x.T @ (p - label) + RIDGE * w)
+        w[1] = max(0.0, w[1])
+        self.curve = float(w[0] - w[1] * shift / scale), float(w[1] / scale)
 
 
 def _shared_counts(docs: DataFrame) -> np.ndarray:
@@ -193,29 +205,35 @@ def _class_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
                 keys, n = np.unique(_grams(s, CONTEXT)[where] * 2 + label[where], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(labels, "doc_id")
+    # always a merge join: a broadcast of the labels would be of no bounded size, and the plan shall not change with it
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(labels.hint("merge"), "doc_id")
     got = own.select("text", "label").mapInArrow(run, "key long, n long")
     both = got.groupBy(F.shiftright("key", 1).alias("gram")).agg(*[F.sum(F.when(F.col("key") % 2 == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    found = both.withColumn("gram", F.col("gram").cast("int")).orderBy("gram").toArrow()  # five symbols of six bits
+    found = both.withColumn("gram", F.col("gram").cast("int")).orderBy("gram").toArrow()  # four symbols of six bits
     return found["gram"].to_numpy(), np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()], axis=1)
 
 
+def class_model(context: np.ndarray, n: np.ndarray, backoff: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of each gram, and of each context the weight of the backoff there.
+
+    context: which of ``contexts`` a gram's is; n: how often the class has the gram; backoff: what the shared model says of it.
+    """
+    ones, twos = (n == 1).sum(), (n == 2).sum()
+    d = ones / (ones + 2 * twos) if ones else 0.5
+    total = np.bincount(context, n, contexts)
+    freed = d * np.bincount(context, n > 0, contexts)
+    weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
+    return np.where(n > 0, n - d, 0) / np.maximum(total[context], 1) + weight[context] * backoff, weight
+
+
 def build(grams: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> ToxicityModel:
-    """The evidence tables; the trees are still to be fitted."""
-    context, inverse = np.unique(grams >> BITS, return_inverse=True)
+    """The evidence tables; the curve is still to be fitted."""
+    contexts, inverse = np.unique(grams >> BITS, return_inverse=True)
     backoff = shared.reshape(-1)[grams % SYMBOLS**3]
-    logs, weights = [], []
-    for c in (0, 1):
-        n = counts[:, c].astype(float)
-        ones, twos = (n == 1).sum(), (n == 2).sum()
-        d = ones / (ones + 2 * twos) if ones else 0.5
-        total = np.bincount(inverse, n, len(context))
-        freed = d * np.bincount(inverse, n > 0, len(context))
-        weight = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.where(total[inverse] > 0, np.maximum(n - d, 0) / np.maximum(total[inverse], 1), 0) + weight[inverse] * backoff))
-        weights.append(np.log(np.maximum(weight, 1e-9)))
-    values = np.concatenate([logs[1] - logs[0], weights[1] - weights[0], [0.0]])  # the last stands for what is unknown
-    return ToxicityModel(grams.astype(np.int32), context.astype(np.int32), values, BoostedTrees(rounds=80, depth=3, rate=0.15))
+    p, weight = zip(*[class_model(inverse, counts[:, c].astype(float), backoff, len(contexts)) for c in (0, 1)])
+    of_weight = [np.log(np.maximum(w, 1e-9)) for w in weight]
+    values = np.concatenate([np.log(p[1]) - np.log(p[0]), of_weight[1] - of_weight[0], [0.0]])  # the last stands for what is unknown
+    return ToxicityModel(grams.astype(np.int32), contexts.astype(np.int32), values)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -228,13 +246,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
         for batch in batches:
             for at, size in _portions(batch.column(0)):
                 part = batch.slice(at, size)
-                found = model.features(part.column(0).to_pylist()).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(model.of_texts(part.column(0).to_pylist()))], ["id", "label", "x"])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(own.select("text", "label").mapInArrow(run, "label int, x array<double>").collect())
-    x, y = np.array([r.x for r in rows]).reshape(-1, 6), np.array([r.label for r in rows], dtype=float)
-    model.trees.fit(x, y)
+    found = own.select("text", F.xxhash64("doc_id").alias("id"), "label").mapInArrow(run, "id long, label int, x double")
+    rows = sorted(found.groupBy("id").agg(F.max("label").alias("label"), F.max("x").alias("x")).collect())  # one row an id: as many as were chosen
+    model.fit_curve(np.array([r.x for r in rows]), np.array([r.label for r in rows], dtype=float))
     return model
 
 
