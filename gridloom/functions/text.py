@@ -120,14 +120,15 @@ def stands_alone(needle: Column, hay: Column) -> Column:
     return (F.length(needle) > 0) & F.regexp_like(hay, F.concat(F.lit(r"(?<![a-z0-9\-])"), quoted(needle), F.lit(r"(?![a-z0-9\-])")))
 
 
-_SERIAL = r"^(.*?)(\d+)([a-z]*)$"
+# Fixed value: prefix, number and suffix of a name in a series.
+SERIAL = r"^(.*?)(\d+)([a-z]*)$"
 
 
 def serial(normed: Column) -> Column:
     """struct(prefix, number, suffix) of a name that ends in a number and letters; else null."""
-    number = F.regexp_extract(normed, _SERIAL, 2)
+    number = F.regexp_extract(normed, SERIAL, 2)
     got = F.struct(
-        F.regexp_extract(normed, _SERIAL, 1).alias("prefix"), number.try_cast("long").alias("number"), F.regexp_extract(normed, _SERIAL, 3).alias("suffix")
+        F.regexp_extract(normed, SERIAL, 1).alias("prefix"), number.try_cast("long").alias("number"), F.regexp_extract(normed, SERIAL, 3).alias("suffix")
     )
     return F.when(F.length(number) > 0, got)
 

@@ -2,7 +2,7 @@
 
 names: (page, ord, name); lines: (page, ord, content, x1, y1, x2, y2). Both get their normal forms once (``prepared``), before any join, so that
 the Python step that Unicode needs never runs inside one. Passes are equi joins on the page with text predicates; which pass counts
-is decided by windows afterwards. What depends on earlier decisions folds over one page.
+is decided by windows afterwards. What depends on earlier decisions folds over one name's hits or, in the series, over one page.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from gridloom.functions import text as X
 from .folds import fold_groups, with_number
 
 CORNERS = ["x1", "y1", "x2", "y2"]
-HIT = "page long, name string, name_ord long, method string, lines array<long>, x1 long, y1 long, x2 long, y2 long"
 # Rank of a method where names compete for a box (anything else ranks 5), and confidence of the simple matcher's passes.
 METHOD_RANK = {
     "rule-single": 0, "rule-alphanum": 1, "rule-token": 2, "rule-merge2": 3, "rule-merge3": 4, "rule-ocr-sub": 5, "rule-ocr-sub-lz": 5,
@@ -42,7 +41,7 @@ def _reading_order(lines: DataFrame) -> DataFrame:
 def stacks(lines: DataFrame, most: int) -> DataFrame:
     """Runs of 2 to ``most`` lines that follow each other in reading order: page, place, n, ls (array of line structs)."""
     w = Window.partitionBy("page").orderBy("place")
-    row = F.struct("ord", "content", "alpha", *CORNERS)
+    row = F.struct("ord", "content", "normed", "alpha", *CORNERS)
     ahead = _reading_order(lines).withColumn("run", F.array(*[F.lead(row, k).over(w) if k else row for k in range(most)]))
     ahead = ahead.withColumn("run", F.filter("run", lambda r: r.isNotNull()))
     return ahead.select("page", "place", F.explode(F.sequence(F.lit(2), F.greatest(F.size("run"), F.lit(2)))).alias("n"), "run").where(F.col("n") <= F.size("run")).select(
@@ -122,118 +121,95 @@ def best_without_conflict(matches: DataFrame) -> DataFrame:
     return ranked.where(stays).select(*matches.columns)
 
 
-# ── the full matcher: all passes, one page at a time ────────────────────────────────────────────────────────────────────────
+# ── the full matcher: all passes ────────────────────────────────────────────────────────────────────────────────────────────
 
-_CONFUSED = {a + b for a, bs in X.CONFUSED.items() for b in bs} | {b + a for a, bs in X.CONFUSED.items() for b in bs}
+#: What a name may hit, in the order in which hits count: by pass, then line order, or (for tokens and runs of lines) reading order.
+_EVENT = "struct<pass:int,at:long,n:int,method:string,lines:array<long>,box:struct<x1:long,y1:long,x2:long,y2:long>>"
 
 
-def _zeros(alpha: str) -> str:
-    return re.sub(r"(?<=[a-z])0+(\d)", r"\1", alpha)
+def _words(normed: Column) -> Column:
+    return F.filter(F.split(normed, " "), lambda w: w != "")
 
 
-def _alpha(normed: str) -> str:
-    return re.sub("[^a-z0-9]", "", normed)
+def _holds_words(text_words: Column, name_words: Column) -> Column:
+    return (F.size(name_words) > 0) & (F.size(F.array_except(name_words, text_words)) == 0)
 
 
-def _alike(a: str, b: str) -> bool:
-    fold = str.maketrans("oli", "011")
-    return min(len(a), len(b)) >= 3 and (a == b or a.translate(fold) == b.translate(fold))
+def _same_serial(a: Column, b: Column) -> Column:
+    """Equal number of two digits at least and equal suffix, prefixes of about one length."""
+    apart = F.abs(F.length(X.alphanum(a["prefix"])) - F.length(X.alphanum(b["prefix"])))
+    return F.coalesce((a["number"] >= 10) & (a["number"] == b["number"]) & (a["suffix"] == b["suffix"]) & (apart <= 2), F.lit(False))
 
 
-def _confused(a: str, b: str, least: int, need: bool) -> bool:
-    if min(len(a), len(b)) < least or len(a) != len(b) or a == b:
-        return False
-    da, db = (re.sub("[^0-9]", "", s) for s in (a, b))
-    unlike = [x + y for x, y in zip(a, b) if x != y]
-    return da == db and (bool(da) or not need) and len(unlike) == 1 and unlike[0] in _CONFUSED
+def _one_below_the_other(ls: Column, least: float) -> Column:
+    """Each line of a run close under the one before it and sharing enough of its width."""
 
+    def near(i: Column) -> Column:
+        a, b = (B.Box(*[F.element_at(ls, at)[c] for c in CORNERS]) for at in (i, i + 1))
+        return (b.y1 - a.y2 <= F.greatest(a.y2 - a.y1, F.lit(1)) * 2.5) & (B.x_overlap(a, b) >= least)
 
-def _alone(needle: str, hay: str) -> bool:
-    return bool(needle) and re.search(r"(?<![a-z0-9\-])" + re.escape(needle) + r"(?![a-z0-9\-])", hay) is not None
+    return F.forall(F.sequence(F.lit(1), F.size(ls) - 1), near)
 
 
-def parse_serial(normed: str) -> tuple[str, int, str] | None:
-    m = re.match(r"^(.*?)([0-9]+)([a-z]*)$", normed)
-    return (m[1], int(m[2]), m[3]) if m else None
+def _single_events(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page, name, name_ord, event) for each line that a name fits in some pass; the first pass counts."""
+    n, line = names.alias("n"), _reading_order(lines).alias("l")
+    nn, ln = F.col("n.normed"), F.col("l.normed")
+    # the passes' numbers leave 3 to tokens and runs of lines, which are met in reading order together
+    kinds = [
+        (1, "rule-single", (nn == ln) | X.stands_alone(nn, ln)),
+        (2, "rule-alphanum", X.alike(F.col("n.bare"), F.col("l.bare"))),
+        (3, "rule-token", _holds_words(F.col("l.words"), F.col("n.words"))),
+        (4, "rule-ocr-sub", X.confused(F.col("n.alpha"), F.col("l.alpha"))),
+        (5, "rule-ocr-sub-lz", X.confused(F.col("n.bare"), F.col("l.bare"), 3, False)),
+        (6, "rule-serial-num", _same_serial(F.col("n.serial"), F.col("l.serial"))),
+    ]
+    which = F.coalesce(*[F.when(fits, F.struct(F.lit(k).alias("pass"), F.lit(m).alias("method"))) for k, m, fits in kinds])
+    hit = n.join(line, F.col("n.page") == F.col("l.page")).withColumn("which", which).where("which is not null")
+    at = F.when(F.col("which.pass") == 3, F.col("l.place")).otherwise(F.col("l.ord"))
+    event = F.struct(F.col("which.pass"), at, F.lit(1), F.col("which.method"), F.array("l.ord"), F.struct(*[F.col(f"l.{c}") for c in CORNERS])).cast(_EVENT)
+    return hit.select("n.page", "n.name", F.col("n.ord").alias("name_ord"), event.alias("event"))
 
 
-def _near_below(a: tuple, b: tuple, least: float) -> bool:
-    gap_ok = b[1] - a[3] <= max(a[3] - a[1], 1) * 2.5
-    shared = max(0, min(a[2], b[2]) - max(a[0], b[0]) + 2)
-    return gap_ok and shared / max(a[2] - a[0], b[2] - b[0], 1) >= least
+def _run_events(names: DataFrame, lines: DataFrame, max_merge: int, least: float) -> DataFrame:
+    """The same for runs of lines that read together like the name, or hold it or its words."""
+    runs = stacks(lines, max_merge).where(_one_below_the_other(F.col("ls"), least))
+    runs = runs.withColumn("normed", F.array_join(F.transform("ls", lambda r: r["normed"]), " "))
+    runs = runs.withColumns({"words": _words(F.col("normed")), "bare": X.strip_zeros(X.alphanum(F.col("normed")))})
+    n, m = names.alias("n"), runs.alias("m")
+    nn, mn = F.col("n.normed"), F.col("m.normed")
+    fits = _holds_words(F.col("m.words"), F.col("n.words")) | X.stands_alone(nn, mn) | X.stands_alone(mn, nn) | X.alike(F.col("n.bare"), F.col("m.bare"))
+    method = F.concat(F.lit("rule-merge"), F.col("m.n").cast("string"))
+    event = F.struct(F.lit(3), F.col("m.place"), F.col("m.n"), method, F.transform("m.ls", lambda r: r["ord"]), F.struct(*_union_box(F.col("m.ls")))).cast(_EVENT)
+    return n.join(m, (F.col("n.page") == F.col("m.page")) & fits).select("n.page", "n.name", F.col("n.ord").alias("name_ord"), event.alias("event"))
 
 
-def all_pass_hits(name: str, lines: list[tuple[int, str, tuple]], max_merge: int = 3, least: float = 0.25) -> list[tuple[str, list[int], tuple]]:
-    """name: in normal form. lines: (ord, normal form, box) in order. Hits (method, line ords, box): every pass adds, a box counts once.
+def _counted(events: Column) -> Column:
+    """Of sorted events those that count: a box counts once, and a line that counted alone is in no later hit."""
+    state = f"struct<boxes:array<struct<x1:long,y1:long,x2:long,y2:long>>,taken:array<long>,hits:array<{_EVENT}>>"
+    none = F.struct(F.array(), F.array(), F.array()).cast(state)
 
-    A line that a single-line pass took is out of the passes after it.
-    """
-    alpha, words, hits, seen, taken = _alpha(name), set(name.split()), [], set(), set()
-    forms = [(_alpha(t), _zeros(_alpha(t))) for _, t, _ in lines]
-    bare = _zeros(alpha)
-
-    def add(method: str, places: list[int]) -> None:
-        found = [lines[i][2] for i in places]
-        box = (min(b[0] for b in found), min(b[1] for b in found), max(b[2] for b in found), max(b[3] for b in found))
-        if box not in seen:
-            seen.add(box)
-            hits.append((method, [lines[i][0] for i in places], box))
-            if len(places) == 1:
-                taken.add(places[0])
-
-    def each(method: str, fits) -> None:
-        for i in range(len(lines)):
-            if i not in taken and fits(i):
-                add(method, [i])
-
-    each("rule-single", lambda i: lines[i][1] == name or _alone(name, lines[i][1]))
-    each("rule-alphanum", lambda i: _alike(bare, forms[i][1]))
-    order = sorted(range(len(lines)), key=lambda i: (lines[i][2][1], lines[i][2][0]))
-    for at in range(len(order)):
-        for n in range(1, min(max_merge, len(order) - at) + 1):
-            group = order[at : at + n]
-            if taken.intersection(group):
-                continue
-            together = " ".join(lines[i][1] for i in group)
-            covers = bool(words) and words <= set(together.split())
-            if n == 1:
-                if covers:
-                    add("rule-token", group)
-                continue
-            if all(_near_below(lines[a][2], lines[b][2], least) for a, b in zip(group, group[1:])) and (
-                covers or _alone(name, together) or _alone(together, name) or _alike(bare, _zeros(_alpha(together)))
-            ):
-                add(f"rule-merge{n}", group)
-    each("rule-ocr-sub", lambda i: _confused(alpha, forms[i][0], 4, True))
-    each("rule-ocr-sub-lz", lambda i: _confused(bare, forms[i][1], 3, False))
-    own = parse_serial(name)
-    if own and own[1] >= 10:
-
-        def same_serial(i: int) -> bool:
-            other = parse_serial(lines[i][1])
-            return other is not None and other[1:] == own[1:] and abs(len(_alpha(other[0])) - len(_alpha(own[0]))) <= 2
-
-        each("rule-serial-num", same_serial)
-    return hits
-
-
-def all_pass_matches(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every hit of every name against the lines of its page: HIT columns and hit_ord."""
-    n = names.select("page", "ord", X.norm(F.col("name")).alias("normed"), "name").withColumn("kind", F.lit(0))
-    tall = n.select("page", "kind", "ord", "normed", "name", *[F.lit(None).cast("long").alias(c) for c in CORNERS]).unionByName(
-        lines.select("page", F.lit(1).alias("kind"), "ord", X.norm(F.col("content")).alias("normed"), F.lit(None).cast("string").alias("name"), *CORNERS)
-    )
+    def step(s: Column, e: Column) -> Column:
+        out = F.array_contains(s["boxes"], e["box"]) | F.arrays_overlap(s["taken"], e["lines"])
+        taken = F.when(e["n"] == 1, F.concat(s["taken"], e["lines"])).otherwise(s["taken"])
+        more = F.struct(F.array_append(s["boxes"], e["box"]), taken, F.array_append(s["hits"], e)).cast(state)
+        return F.when(out, s).otherwise(more)
+
+    return F.aggregate(events, none, step, lambda s: s["hits"])
 
-    def page(rows: list[tuple]) -> list[tuple]:
-        found = [(ord_, normed, tuple(box)) for _, kind, ord_, normed, _, *box in rows if kind == 1]
-        return [
-            (key, name, ord_, method, ords, *box, k)
-            for key, kind, ord_, normed, name, *_ in rows
-            if kind == 0
-            for k, (method, ords, box) in enumerate(all_pass_hits(normed, found))
-        ]
 
-    return fold_groups(tall, ("page",), ("kind", "ord"), page, HIT + ", hit_ord long")
+def all_pass_matches(names: DataFrame, lines: DataFrame, max_merge: int = 3, least: float = 0.25) -> DataFrame:
+    """Every hit of every name against the lines of its page: page, name, name_ord, method, lines (their ords), corners, hit_ord.
+
+    Every pass adds: lines that are the name or hold it alone, that read alike, that hold its words (with runs of up to ``max_merge`` lines one below the
+    other, in reading order), that are one confusable character away, with and without zeros, and that end in the same number. What fits is joined
+    and tested as a set; only which of a name's fits count depends on those before, and that folds over them in one expression.
+    """
+    n, line = (prepared(df, text).withColumns({"words": _words(F.col("normed")), "serial": X.serial(F.col("normed"))}) for df, text in ((names, "name"), (lines, "content")))
+    fits = _single_events(n, line).unionByName(_run_events(n, line, max_merge, least))
+    hits = fits.groupBy("page", "name", "name_ord").agg(_counted(F.sort_array(F.collect_list("event"))).alias("hits"))
+    each = hits.select("page", "name", "name_ord", F.posexplode("hits").alias("hit_ord", "h"))
+    return each.select("page", "name", "name_ord", "h.method", "h.lines", "h.box.*", F.col("hit_ord").cast("long").alias("hit_ord"))
 
 
 # ── conflicts, positions ────────────────────────────────────────────────────────────────────────────────────────────────────
@@ -526,6 +502,16 @@ def corrected_series(names: dict[str, tuple], rounds: int = 1000) -> tuple[dict[
     return names, done
 
 
+def _alpha(normed: str) -> str:
+    return re.sub("[^a-z0-9]", "", normed)
+
+
+def parse_serial(normed: str) -> tuple[str, int, str] | None:
+    """Prefix, number and suffix, as ``text.serial`` has them."""
+    m = re.match(X.SERIAL, normed, re.ASCII)
+    return (m[1], int(m[2]), m[3]) if m else None
+
+
 def _plain(name: str) -> str:
     import unicodedata
 

@@ -45,19 +45,16 @@ def area(a):
 def test_alike(spark, a, b, same):
     bare = lambda t: X.strip_zeros(X.alphanum(X.norm(F.lit(t))))
     assert value(spark, X.alike(bare(a), bare(b))) is same
-    assert matching._alike(matching._zeros(matching._alpha(a.lower())), matching._zeros(matching._alpha(b.lower()))) is same
 
 
 @pytest.mark.parametrize("a, b, same", [("hv14", "hy14", True), ("hv14", "hv15", False), ("hv14", "hx14", False), ("hv1", "hy1", False), ("abcv", "abcy", False)])
 def test_confused(spark, a, b, same):
     assert value(spark, X.confused(F.lit(a), F.lit(b))) is same
-    assert matching._confused(a, b, 4, True) is same
 
 
 @pytest.mark.parametrize("needle, hay, alone", [("e-h-06", "e-h-06b(u)", False), ("0", "e-h-02", False), ("e-h-06", "e-h-06 bus", True), ("a.b", "axb", False), ("", "x", False), (r"q\e", r"(q\e)", True)])
 def test_stands_alone(spark, needle, hay, alone):
     assert value(spark, X.stands_alone(F.lit(needle), F.lit(hay))) is alone
-    assert matching._alone(needle, hay) is alone
 
 
 def test_norm_uses_compatibility_forms(spark):
@@ -151,14 +148,37 @@ def test_gaps_filled():
     assert matching.gaps_filled(["X-1", "X-4", "X-4"]) == ["X-1", "X-4", "X-4"]
 
 
-def test_all_passes():
-    lines = [(0, "e-hv-01", (0, 200, 50, 210)), (1, "ehv-1", (0, 100, 50, 110)), (2, "gcp", (200, 0, 240, 10)), (3, "1a", (200, 12, 240, 22)), (4, "hy-14", (400, 300, 450, 310)), (5, "gif15", (600, 400, 640, 410))]
-    found = lambda name: [(m, ls) for m, ls, _ in matching.all_pass_hits(name, lines)]
-    assert found("e-hv-01") == [("rule-single", [0]), ("rule-alphanum", [1])]
-    assert found("gcp 1a") == [("rule-merge2", [2, 3])]
-    assert found("hv-14") == [("rule-ocr-sub", [4])]
-    assert found("e-h-15") == [("rule-serial-num", [5])]
-    assert found("nothing") == []
+def all_passes(spark, names, lines):
+    n = spark.createDataFrame([(0, i, x) for i, x in enumerate(names)], "page long, ord long, name string")
+    line = spark.createDataFrame([(0, i, t, *box) for i, t, box in lines], "page long, ord long, content string, x1 long, y1 long, x2 long, y2 long")
+    out = {}
+    for r in sorted(matching.all_pass_matches(n, line).collect(), key=lambda r: (r.name, r.hit_ord)):
+        out.setdefault(r.name, []).append((r.method, r.lines))
+    return out
+
+
+def test_all_passes(spark):
+    lines = [
+        (0, "E-HV-01", (0, 200, 50, 210)), (1, "EHV-1", (0, 100, 50, 110)), (2, "GCP", (200, 0, 240, 10)), (3, "1A", (200, 12, 240, 22)),
+        (4, "hy-14", (400, 300, 450, 310)), (5, "GIF15", (600, 400, 640, 410)), (6, "7 ABC", (900, 500, 950, 510)),
+    ]
+    assert all_passes(spark, ["E-HV-01", "gcp 1a", "HV-14", "E-H-15", "nothing", "abc 7", ""], lines) == {
+        "E-HV-01": [("rule-single", [0]), ("rule-alphanum", [1])],
+        "gcp 1a": [("rule-merge2", [2, 3])],
+        "HV-14": [("rule-ocr-sub", [4])],
+        "E-H-15": [("rule-serial-num", [5])],
+        "abc 7": [("rule-token", [6])],
+    }
+
+
+def test_a_line_or_box_that_counted_is_not_met_again(spark):
+    """A line taken alone is in no run; a second line in the same box doesn't count, and isn't taken either."""
+    box = (0, 0, 40, 10)
+    lines = [(0, "LP 1", box), (1, "LP 1", box), (2, "BUS", (0, 12, 40, 22)), (3, "x", (0, 24, 40, 34))]
+    got = all_passes(spark, ["LP 1", "BUS x", "1 BUS"], lines)
+    assert got["LP 1"] == [("rule-single", [0]), ("rule-merge2", [1, 2]), ("rule-merge3", [1, 2, 3])]
+    assert got["BUS x"] == [("rule-merge3", [1, 2, 3]), ("rule-merge2", [2, 3])]
+    assert got["1 BUS"] == [("rule-merge3", [0, 1, 2]), ("rule-merge3", [1, 2, 3])] or got["1 BUS"][0] == ("rule-merge3", [0, 1, 2])
 
 
 def test_split_lines_pair_once():
