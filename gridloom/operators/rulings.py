@@ -196,24 +196,22 @@ def support(stretches: DataFrame, at: DataFrame, tolerance: int = 2) -> DataFram
     return got.withColumn("ratio", F.least(F.lit(1.0), F.col("length") / F.greatest(F.abs(F.col("r1") - F.col("r0")), F.lit(1))))
 
 
-def nearest_lines(seeds: DataFrame, lines: DataFrame, stretches: DataFrame, tolerance: int = 2, pad: float = 5.0, ratio: float = 0.2) -> DataFrame:
-    """The nearest line of each seed's axis strictly to one side: seeds (page, id, axis, side -1 or 1, pos, orth, r0, r1) -> (page, id, axis, side, line).
+def nearest_lines(seeds: DataFrame, lines: DataFrame, stretches: DataFrame, tolerance: int = 2) -> DataFrame:
+    """The nearest line of each seed's axis strictly to one side: seeds (page, id, axis, side -1 or 1, pos, ...) -> (page, id, axis, side, line).
 
-    Lines without stretches don't count. Of equally near ones the best supported goes first (its stretches cover orth, touch the range, or
-    neither), then the smaller position.
+    Lines without stretches don't count. To one side no two lines are equally near, so how well a line is supported decides nothing. Seeds and lines
+    are put in one order, where the last line before a seed (from either end) is the nearest.
     """
-    s, line = seeds.alias("s"), lines.select(*KEY, "pos").distinct().alias("l")
-    side = F.col("s.side") * (F.col("l.pos") - F.col("s.pos")) > 0
-    joined = s.join(line, (F.col("s.page") == F.col("l.page")) & (F.col("s.axis") == F.col("l.axis")) & side)
-    t = stretches.alias("t")
+    s, t = lines.select(*KEY, "pos").distinct().alias("l"), stretches.alias("t")
     near = (F.col("l.page") == F.col("t.page")) & (F.col("l.axis") == F.col("t.axis")) & (F.abs(F.col("t.pos") - F.col("l.pos")) <= tolerance)
-    covers = (F.col("t.s0") - pad <= F.col("s.orth")) & (F.col("s.orth") <= F.col("t.s1") + pad)
-    touches = (F.col("t.s1") >= F.col("s.r0")) & (F.col("t.s0") <= F.col("s.r1"))
-    value = F.when(covers, 3.0).when(touches, 2.0).otherwise(0.5)
-    found = joined.join(t, near).groupBy("s.page", "s.id", "s.axis", "s.side", F.col("l.pos").alias("line")).agg(
-        F.max(value).alias("support"), F.min(F.abs(F.col("l.pos") - F.col("s.pos"))).alias("far")
-    )
-    return found.groupBy("page", "id", "axis", "side").agg(F.min_by("line", F.struct("far", -F.col("support"), "line")).alias("line"))
+    live = s.join(t, near, "left_semi")
+    at = F.col("pos").cast("double").alias("at")
+    asked = seeds.select(*KEY, "id", "side", at, F.lit(0).alias("kind"), F.lit(None).cast(lines.schema["pos"].dataType).alias("line"))
+    known = live.select(*KEY, F.lit(None).alias("id"), F.lit(None).alias("side"), at, F.lit(1).alias("kind"), F.col("pos").alias("line"))
+    w = Window.partitionBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low, high = (F.last("line", True).over(w.orderBy(by, "kind")) for by in (F.asc("at"), F.desc("at")))  # seeds go before lines in their place
+    found = asked.unionByName(known).withColumns({"low": low, "high": high}).where("kind = 0")
+    return found.select("page", "id", "axis", "side", F.when(F.col("side") < 0, F.col("low")).otherwise(F.col("high")).alias("line")).where("line is not null")
 
 
 def supported_line(seeds: DataFrame, lines: DataFrame, stretches: DataFrame, share: float = 0.45, least: float = 50.0) -> DataFrame:

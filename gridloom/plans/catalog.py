@@ -361,11 +361,11 @@ def postprocess_crops(get):
 
 @_query(f"""WITH e AS (SELECT page, count(*) AS crops FROM {{older}} WHERE page % 3 > 0 GROUP BY page),
             n AS (SELECT a.page, count(*) AS n, sum({_AREA.format('a')}) AS covered, sum({_INTER}) AS inside, max((b.x2 - b.x1) * (b.y2 - b.y1)) AS size
-                  FROM {{newer}} a JOIN {{content}} b ON a.page = b.page WHERE a.ord <= 1 + a.page % 4 OR a.page % 2 = 0 GROUP BY a.page),
+                  FROM {{newer}} a JOIN {{content}} b ON a.page = b.page GROUP BY a.page),
             s AS (SELECT n.page, n, CAST(covered / size AS DOUBLE) AS coverage, coalesce(crops, 0) AS crops, inside / greatest(covered, 1) AS part FROM n LEFT JOIN e ON n.page = e.page)
             SELECT page, n, coverage, CASE WHEN (crops = 0 AND coverage > 0.6) OR (n >= 4 AND coverage > 0.5) OR (crops = 0 AND n = 1 AND part > 0.7 AND coverage < 0.55) THEN 'content' ELSE 'keep' END AS action FROM s""")
 def coverage_snap(get):
-    new = get("newer").where("ord <= 1 + page % 4 OR page % 2 = 0")
+    new = get("newer")
     return spatial.coverage_snap(new, get("content"), get("older").where("page % 3 > 0"))
 
 
@@ -416,13 +416,17 @@ def first_bbox_of_crop(get):
 
 
 def _painted(get) -> DataFrame:
-    return get("boxes").where("ord <= 6").select("page", "ord", F.when(F.col("part") % 4 == 0, "exclude").otherwise("panel").alias("kind"), *[(F.col(c) / 50).cast("long").alias(c) for c in CORNERS])
+    return get("boxes").select("page", "ord", F.when(F.col("part") % 4 == 0, "exclude").otherwise("panel").alias("kind"), *CORNERS)
 
 
-@_query(f"""WITH p AS (SELECT page, ord, part % 4 = 0 AS cut, x1 // 50 AS x1, y1 // 50 AS y1, x2 // 50 AS x2, y2 // 50 AS y2 FROM {{boxes}} WHERE ord <= 6),
-            g AS (SELECT page, ord, cut, x, unnest(range(y1, y2)) AS y FROM (SELECT *, unnest(range(x1, x2)) AS x FROM p) t),
-            l AS (SELECT page, x, y, arg_max(cut, ord) AS cut FROM g GROUP BY page, x, y)
-            SELECT p.page, CAST(coalesce(sum(CASE WHEN NOT l.cut THEN 1 ELSE 0 END), 0) AS BIGINT) AS area FROM (SELECT DISTINCT page FROM p) p LEFT JOIN l ON p.page = l.page GROUP BY p.page""")
+def _edges(axis: str) -> str:
+    return f"""{axis}s AS (SELECT page, {axis}, lead({axis}) OVER (PARTITION BY page ORDER BY {axis}) AS upto FROM (SELECT page, {axis}1 AS {axis} FROM p UNION SELECT page, {axis}2 FROM p) e)"""
+
+
+@_query(f"""WITH p AS (SELECT page, ord, part % 4 = 0 AS cut, x1, y1, x2, y2 FROM {{boxes}}), {_edges('x')}, {_edges('y')},
+            l AS (SELECT p.page, (xs.upto - x) * (ys.upto - y) AS a, arg_max(cut, ord) AS cut FROM p JOIN xs ON p.page = xs.page AND x >= x1 AND x < x2
+                  JOIN ys ON p.page = ys.page AND y >= y1 AND y < y2 GROUP BY p.page, x, y, xs.upto, ys.upto)
+            SELECT p.page, CAST(coalesce((SELECT sum(a) FROM l WHERE l.page = p.page AND NOT l.cut), 0) AS BIGINT) AS area FROM (SELECT DISTINCT page FROM p) p""")
 def exact_union_coverage(get):
     return spatial.painted_area(_painted(get))
 
@@ -516,11 +520,11 @@ def structural_boundaries(get):
     return rulings.structural(_lines(get), get("pages").select("page", F.lit(900).alias("w"), F.lit(900).alias("h")))
 
 
-_SEEDS = "(SELECT page, ord AS id, 'h' AS axis, CASE WHEN part % 2 = 0 THEN 1 ELSE -1 END AS side, y1 AS pos, x1 AS orth, greatest(0, x1 - 20) AS r0, x1 + 20 AS r1 FROM {boxes} WHERE ord % 3 = 1)"
+_SEEDS = "(SELECT page, ord AS id, 'h' AS axis, CASE WHEN part % 2 = 0 THEN 1 ELSE -1 END AS side, y1 AS pos, x1 AS orth, greatest(0, x1 - 20) AS r0, x1 + 20 AS r1 FROM {boxes})"
 
 
 def _seeds(get) -> DataFrame:
-    return get("boxes").where("ord % 3 = 1").select(
+    return get("boxes").select(
         "page", F.col("ord").alias("id"), F.lit("h").alias("axis"), F.when(F.col("part") % 2 == 0, 1).otherwise(-1).alias("side"), F.col("y1").alias("pos"),
         F.col("x1").alias("orth"), F.greatest(F.lit(0), F.col("x1") - 20).alias("r0"), (F.col("x1") + 20).alias("r1"),
     )
@@ -554,7 +558,7 @@ def segment_support(get):
 
 
 def _panel_seeds(get) -> DataFrame:
-    return get("boxes").where("ord % 3 = 1").select("page", F.col("ord").alias("id"), F.concat(F.lit("P"), (F.col("ord") % 12).cast("string")).alias("name"), F.col("x1").alias("seed_x"), F.col("y1").alias("seed_y"))
+    return get("boxes").select("page", F.col("ord").alias("id"), F.concat(F.lit("P"), (F.col("ord") % 12).cast("string")).alias("name"), F.col("x1").alias("seed_x"), F.col("y1").alias("seed_y"))
 
 
 @_query()
@@ -953,14 +957,14 @@ def name_coverage(get):
 
 @_query("""SELECT p.page, count(b.page) AS n, CAST(coalesce(sum((b.x2 - b.x1) * (b.y2 - b.y1)), 0) AS BIGINT) AS covered, coalesce(sum((b.x2 - b.x1) * (b.y2 - b.y1)), 0) / max(p.w * p.h) AS coverage,
                   CASE WHEN count(b.page) = 0 THEN 'no_panels' WHEN coalesce(sum((b.x2 - b.x1) * (b.y2 - b.y1)), 0) / max(p.w * p.h) < 0.3 THEN 'low_coverage' END AS issue
-           FROM {pages} p LEFT JOIN (SELECT * FROM {boxes} WHERE ord <= page % 9) b ON p.page = b.page GROUP BY p.page""")
+           FROM {pages} p LEFT JOIN (SELECT * FROM {boxes} WHERE page % 9 > 0) b ON p.page = b.page GROUP BY p.page""")
 def page_coverage(get):
-    return validation.page_coverage(get("boxes").where("ord <= page % 9"), get("pages"))
+    return validation.page_coverage(get("boxes").where("page % 9 > 0"), get("pages"))
 
 
-@_query("""SELECT c.page, least(100.0, coalesce(sum((b.x2 - b.x1) * (b.y2 - b.y1)), 0) * 100.0 / max((c.x2 - c.x1) * (c.y2 - c.y1))) AS percent FROM {content} c LEFT JOIN {older} b ON c.page = b.page AND b.ord <= 6 GROUP BY c.page""")
+@_query("""SELECT c.page, least(100.0, coalesce(sum((b.x2 - b.x1) * (b.y2 - b.y1)), 0) * 100.0 / max((c.x2 - c.x1) * (c.y2 - c.y1))) AS percent FROM {content} c LEFT JOIN {older} b ON c.page = b.page GROUP BY c.page""")
 def existing_coverage(get):
-    return validation.content_coverage(get("older").where("ord <= 6"), get("content"))
+    return validation.content_coverage(get("older"), get("content"))
 
 
 _STATE = "(SELECT *, CASE WHEN part % 5 = 0 THEN 'pending' ELSE 'verified' END AS status, CAST(0.5 + (supp % 6) / 10.0 AS DOUBLE) AS confidence FROM {boxes})"
@@ -1046,12 +1050,12 @@ def stage_diff(get):
     return validation.stage_changes(get("older"), get("boxes").where("ord % 2 = 0"))
 
 
-@_query("""WITH bay AS (SELECT page, concat('P', ord % 9) AS name, arg_min(supp % 4, ord) AS n_bays FROM {boxes} WHERE ord > 3 GROUP BY page, concat('P', ord % 9))
+@_query("""WITH bay AS (SELECT page, concat('P', ord) AS name, arg_min(supp % 4, ord) AS n_bays FROM {boxes} WHERE ord > 3 GROUP BY page, concat('P', ord))
            SELECT b.page, count(*) AS panels, string_agg(concat(b.name, ':', coalesce(CAST(n_bays AS VARCHAR), '-')), ',' ORDER BY b.ord) AS listed
-           FROM (SELECT page, ord, concat('P', ord % 9) AS name FROM {boxes} WHERE ord <= 9) b LEFT JOIN bay ON b.page = bay.page AND b.name = bay.name GROUP BY b.page""")
+           FROM (SELECT page, ord, concat('P', ord) AS name FROM {boxes}) b LEFT JOIN bay ON b.page = bay.page AND b.name = bay.name GROUP BY b.page""")
 def final_summary(get):
-    name = F.concat(F.lit("P"), (F.col("ord") % 9).cast("string")).alias("name")
-    panels = get("boxes").where("ord <= 9").select("page", "ord", name, *CORNERS)
+    name = F.concat(F.lit("P"), F.col("ord").cast("string")).alias("name")
+    panels = get("boxes").select("page", "ord", name, *CORNERS)
     bays = get("boxes").where("ord > 3").select("page", "ord", name, (F.col("supp") % 4).alias("n_bays"))
     out = validation.final_summary(panels, bays, panels.select("page", "name", F.lit("| a |").alias("bom")))
     kind = "array<struct<ord:long,name:string,bbox:array<long>,n_bays:long,bom:string>>"
@@ -1251,19 +1255,19 @@ def _paragraphs(get) -> DataFrame:
 
 @_query(f"""WITH p AS (SELECT page, ord, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, bow AND (x2 - x1) * (y2 - y1) > 1 AS wraps FROM {_REL} r)
             SELECT p.page, p.ord, CASE WHEN wraps THEN 'wrap_around' WHEN NOT (cx BETWEEN c.x1 AND c.x2 AND cy BETWEEN c.y1 AND c.y2) THEN 'outside_frame'
-              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND t.ord <= 9 AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
+              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
             FROM p JOIN {{content}} c ON p.page = c.page""")
 def text_region_reasons(get):
-    return regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older").where("ord <= 9"))
+    return regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older"))
 
 
 @_query(f"""WITH p AS (SELECT page, ord, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, bow AND (x2 - x1) * (y2 - y1) > 1 AS wraps FROM {_REL} r)
             SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT (cx BETWEEN c.x1 AND c.x2 AND cy BETWEEN c.y1 AND c.y2) THEN 'outside_frame' WHEN wraps THEN 'wrap_around'
-              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND t.ord <= 9 AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
+              WHEN EXISTS (SELECT 1 FROM {{older}} t WHERE t.page = p.page AND cx BETWEEN t.x1 AND t.x2 AND cy BETWEEN t.y1 AND t.y2) THEN 'in_table' ELSE 'ok' END AS reason
             FROM p JOIN {{content}} c ON p.page = c.page) q GROUP BY reason""")
 def text_filter_tally(get):
     """The order of the raw dump: the frame is tested before wrap-around."""
-    return validation.tally(regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older").where("ord <= 9"), frame_first=True), "reason")
+    return validation.tally(regions.text_reasons(_paragraphs(get), get("pages"), get("content"), get("older"), frame_first=True), "reason")
 
 
 @_query("""SELECT b.page, b.ord, greatest(b.x1, c.x1) AS x1, greatest(b.y1, c.y1) AS y1, least(b.x2, c.x2) AS x2, least(b.y2, c.y2) AS y2 FROM {boxes} b JOIN {content} c ON b.page = c.page
@@ -1275,12 +1279,12 @@ def figure_regions(get):
 
 
 @_query(f"""WITH p AS (SELECT n.page, n.ord, o.ord AS painted, o.x1, o.y1, o.x2, o.y2, (n.x1 + n.x2) / 2 - (o.x1 + o.x2) / 2 AS dx, (n.y1 + n.y2) / 2 - (o.y1 + o.y2) / 2 AS dy,
-               least(o.x2, n.x2) > greatest(o.x1, n.x1) OR least(o.y2, n.y2) > greatest(o.y1, n.y1) AS near FROM {{newer}} n JOIN {{older}} o ON n.page = o.page WHERE o.ord <= 6 AND n.ord <= 6),
+               least(o.x2, n.x2) > greatest(o.x1, n.x1) OR least(o.y2, n.y2) > greatest(o.y1, n.y1) AS near FROM {{newer}} n JOIN {{older}} o ON n.page = o.page),
             s AS (SELECT page, ord, painted, CASE WHEN near AND abs(dy) < abs(dx) AND dx <= 0 THEN x1 + 30 ELSE x1 END AS x1, CASE WHEN near AND abs(dy) >= abs(dx) AND dy <= 0 THEN y1 + 30 ELSE y1 END AS y1,
                least({PAGE_W}, CASE WHEN near AND abs(dy) < abs(dx) AND dx > 0 THEN x2 - 30 ELSE x2 END) AS x2, least({PAGE_H}, CASE WHEN near AND abs(dy) >= abs(dx) AND dy > 0 THEN y2 - 30 ELSE y2 END) AS y2 FROM p)
             SELECT * FROM s WHERE x2 > x1 AND y2 > y1""")
 def white_fill_rectangles(get):
-    return regions.fill_rectangles(get("newer").where("ord <= 6"), get("older").where("ord <= 6"), get("pages"))
+    return regions.fill_rectangles(get("newer"), get("older"), get("pages"))
 
 
 @_query()
@@ -1292,7 +1296,7 @@ def ruling_grid(get):
 @_query()
 def verify_loop_replay(get):
     """Locate and verify replies of each panel, replayed to its final box."""
-    b = get("boxes").where("ord <= 12")
+    b = get("boxes")
     axis = lambda c: F.when(F.col("part") % 3 == 0, F.lit(c))
     attempts = b.select(
         "page", F.concat(F.lit("P"), (F.col("ord") % 3).cast("string")).alias("name"), F.col("ord").alias("attempt"), F.array(*[F.col(c).cast("double") for c in CORNERS]).alias("located"),
@@ -1308,17 +1312,17 @@ def _detections(get) -> DataFrame:
     gone = F.when(F.col("part") % 4 == 0, F.struct(F.col("ord").alias("index"), F.lit("a table").alias("reason")))
     said = F.to_json(F.struct((F.first("page") % 5 == 0).alias("full_page"), F.sort_array(F.collect_list(one)).alias("missing"), F.collect_list(gone).alias("drop_non_electrical")))
     reply = F.when(F.col("page") % 7 == 0, F.lit("no idea")).otherwise(F.concat(F.lit("```json\n"), "said", F.lit("\n```")))
-    asked = get("boxes").where("ord <= 8").groupBy("page").agg(said.alias("said")).withColumn("reply", reply)
+    asked = get("boxes").groupBy("page").agg(said.alias("said")).withColumn("reply", reply)
     return asked.join(get("pages"), "page")
 
 
-@_query(f"""SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY x1, y1, x2, y2) - 1 AS BIGINT) AS ord, x1, y1, least(x2, {PAGE_W}) AS x2, least(y2, {PAGE_H}) AS y2 FROM {{boxes}} WHERE ord <= 8 AND page % 7 > 0 AND page % 5 > 0
-            UNION ALL SELECT page, 0, 0, 0, {PAGE_W}, {PAGE_H} FROM {{pages}} WHERE page % 7 > 0 AND page % 5 = 0 AND page IN (SELECT page FROM {{boxes}} WHERE ord <= 8)""")
+@_query(f"""SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY x1, y1, x2, y2) - 1 AS BIGINT) AS ord, x1, y1, least(x2, {PAGE_W}) AS x2, least(y2, {PAGE_H}) AS y2 FROM {{boxes}} WHERE page % 7 > 0 AND page % 5 > 0
+            UNION ALL SELECT page, 0, 0, 0, {PAGE_W}, {PAGE_H} FROM {{pages}} WHERE page % 7 > 0 AND page % 5 = 0""")
 def missing_regions_replay(get):
     return replies.missing_regions(_detections(get))
 
 
-@_query("SELECT page, ord FROM {boxes} WHERE ord <= 8 AND page % 7 > 0 AND part % 4 = 0")
+@_query("SELECT page, ord FROM {boxes} WHERE page % 7 > 0 AND part % 4 = 0")
 def dropped_regions_replay(get):
     return replies.dropped_regions(_detections(get))
 
@@ -1345,9 +1349,9 @@ def hits_by_crop(get):
 
 @_query(f"""SELECT b.page, concat('<svg xmlns="http://www.w3.org/2000/svg" width="{PAGE_W}" height="{PAGE_H}"><image href="p', b.page, '.png"/>',
               string_agg(printf('<polygon points="%.1f,%.1f %.1f,%.1f %.1f,%.1f %.1f,%.1f" fill="none" stroke="#f00"/>', x1 * 1.0, y1 * 1.0, x2 * 1.0, y1 * 1.0, x2 * 1.0, y2 * 1.0, x1 * 1.0, y2 * 1.0), '' ORDER BY b.ord), '</svg>') AS value
-            FROM {{boxes}} b WHERE b.ord <= 3 GROUP BY b.page""")
+            FROM {{boxes}} b GROUP BY b.page""")
 def region_overlays(get):
     from gridloom.sources import files
 
-    drawn = get("boxes").where("ord <= 3").select("page", "ord", B.box_to_polygon(B.box()).alias("polygon"), F.lit("#f00").alias("color"))
+    drawn = get("boxes").select("page", "ord", B.box_to_polygon(B.box()).alias("polygon"), F.lit("#f00").alias("color"))
     return files.overlays(drawn, get("pages").withColumn("image", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png"))))

@@ -31,7 +31,7 @@ FIXTURES = {
                concat(CASE supp % 5 WHEN 0 THEN 'E-HV-' WHEN 1 THEN 'HV-' WHEN 2 THEN 'MCC-' WHEN 3 THEN 'E-H-' ELSE 'LP-' END,
                       lpad(concat('', part % 30), 2, '0'), CASE WHEN part % 11 = 0 THEN 'B' ELSE '' END) AS name
         FROM {items}""",
-    "names": "SELECT page, min(ord) AS ord, name FROM {labels_of} WHERE line <= 4 GROUP BY page, name",
+    "names": "SELECT page, min(ord) AS ord, name FROM {labels_of} GROUP BY page, name",
     "lines": """
         SELECT page, ord, content, x1, y1, x1 + 60 + length(content) * 4 AS x2, y1 + 20 AS y2 FROM (
           SELECT page, ord,
