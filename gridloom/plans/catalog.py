@@ -45,13 +45,14 @@ _PAIR = "FROM {boxes} a JOIN {boxes} b ON a.page = b.page AND a.ord < b.ord"
 # ── scalar geometry ─────────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
-@_query(f"SELECT a.page, a.ord AS ord_a, b.ord AS ord_b, {_IOU} AS iou, {_INTER} AS common, {_AREA.format('a')} AS area_a {_PAIR}")
+@_query(f"SELECT a.page, a.ord AS ord_a, b.ord AS ord_b, {_IOU} AS iou, {_INTER} AS common, {_AREA.format('a')} AS area_a {_PAIR} WHERE {_INTER} > 0")
 def bbox_iou_pairs(get):
+    """Of boxes that meet; any two of a page would be a cross join of it."""
     a, b = B.box(alias="a"), B.box(alias="b")
     return spatial.pairs(get("boxes")).select(
         F.col("a.page").alias("page"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"),
         B.iou(a, b).alias("iou"), B.intersection_area(a, b).alias("common"), B.area(a).alias("area_a"),
-    )
+    ).where("common > 0")
 
 
 @_query("""SELECT a.page, a.ord AS outer_ord, b.ord AS inner_ord FROM {boxes} a JOIN {boxes} b ON a.page = b.page
@@ -160,10 +161,11 @@ def merged_bbox(get):
 
 
 @_query("""SELECT a.page, a.ord AS ord_a, b.ord AS ord_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + 2) / greatest(a.x2 - a.x1, b.x2 - b.x1, 1) AS share
-           FROM {lines} a JOIN {lines} b ON a.page = b.page AND a.ord < b.ord""")
+           FROM {lines} a JOIN {lines} b ON a.page = b.page AND a.ord < b.ord AND least(a.x2, b.x2) + 2 > greatest(a.x1, b.x1)""")
 def x_overlap(get):
     both = spatial.pairs(get("lines"))
-    return both.select(F.col("a.page").alias("page"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), B.x_overlap(B.box(alias="a"), B.box(alias="b")).alias("share"))
+    share = B.x_overlap(B.box(alias="a"), B.box(alias="b")).alias("share")
+    return both.select(F.col("a.page").alias("page"), F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"), share).where("share > 0")
 
 
 @_query("""SELECT l.page, l.ord, c.x1 AS ox, l.x1 - c.x1 AS x1, l.y1 - c.y1 AS y1, l.x2 - c.x1 AS x2, l.y2 - c.y1 AS y2 FROM {lines} l JOIN {content} c ON l.page = c.page

@@ -94,7 +94,7 @@ def oracle(sql: str) -> str:
     plain = lambda text: _named(text)
     recursive = "RECURSIVE " if sql.lstrip().upper().startswith("WITH RECURSIVE") else ""
     body = sql.lstrip()
-    ctes = ", ".join(f"f_{n} AS ({plain(FIXTURES[n])})" for n in used)
+    ctes = ", ".join(f"f_{n} AS MATERIALIZED ({plain(FIXTURES[n])})" for n in used)
     if body.upper().startswith("WITH RECURSIVE"):
         body = ", " + body[len("WITH RECURSIVE") :]
     elif body.upper().startswith("WITH"):
