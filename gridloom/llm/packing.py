@@ -12,6 +12,7 @@ any length is cut as needed; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .flat_words import FlatMemory, Words
 from .merge_rounds import MergeTable, WordMemory
@@ -177,9 +180,10 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class Packer:
-    """Packs examples that come one by one; pieces come out of ``full`` and, for the rest, of ``flush``.
+    """Packs examples that come one by one; pieces come out of ``pack``.
 
-    A piece is (example, start, length, sequence, offset), an example the number that ``add`` gave it.
+    A piece is (example, start, length, sequence, offset), an example the number that ``add`` gave it, each higher than the last. Examples of equal demand
+    wait in one line, the lowest number first, so a placement costs as much as there are different demands, however many examples wait.
     """
 
     def __init__(self, first_sequence: int, max_tokens: int, max_segments: int, max_loss_tokens: int):
@@ -188,9 +192,10 @@ class Packer:
         self.limits = np.array([max_tokens, max_segments, max_loss_tokens], dtype=float)
         self.sequence = first_sequence
         self.waiting = 0
-        self.demand = np.empty((0, 3))
-        self.at: list[tuple[int, int]] = []  # example, tokens of it that are placed
-        self.new: list[tuple[int, int, int]] = []
+        self.line_of: dict[tuple[int, int], int] = {}  # tokens and loss tokens -> line
+        self.lines: list[list[tuple[int, int]]] = []  # heaps of (example, tokens of it that are placed)
+        self.demand = np.empty((16, 3))
+        self.alive = np.zeros(16, dtype=bool)
         self.loss: dict[int, np.ndarray] = {}  # running count of loss tokens, only where not all bear loss
 
     def add(self, example: int, tokens: int, loss: np.ndarray | None = None) -> None:
@@ -198,9 +203,23 @@ class Packer:
             return
         if loss is not None:
             self.loss[example] = np.cumsum(np.append(0, loss))
-        self.new.append((example, tokens, tokens if loss is None else int(self.loss[example][-1])))
+        self._wait(example, 0, tokens, self._loss_between(example, 0, tokens))
         self.waiting += tokens
 
+    def _wait(self, example: int, start: int, tokens: int, loss: int) -> None:
+        line = self.line_of.get((tokens, loss))
+        if line is None:
+            line = self.line_of[tokens, loss] = len(self.lines)
+            self.lines.append([])
+            if line == len(self.demand):
+                self.demand, self.alive = np.concatenate([self.demand, self.demand]), np.append(self.alive, np.zeros(line, dtype=bool))
+            self.demand[line] = tokens, 1, loss
+        heapq.heappush(self.lines[line], (example, start))
+        self.alive[line] = True
+
+    def waiting_examples(self) -> set[int]:
+        return {e for line in self.lines for e, _ in line}
+
     def _loss_between(self, example: int, start: int, end: int) -> int:
         run = self.loss.get(example)
         return end - start if run is None else int(run[end] - run[start])
@@ -213,44 +232,46 @@ class Packer:
             return min(end, start + int(left[2]))
         return min(end, int(np.searchsorted(run, run[start] + left[2], "right")) - 1)
 
+    def _choose(self, left: np.ndarray) -> tuple[int, bool]:
+        """The line whose demand has the largest product with what is left, of those that fit if any does; and whether it fits."""
+        n = len(self.lines)
+        demand, alive = self.demand[:n], self.alive[:n]
+        product = np.where(alive, (demand / self.limits) @ (left / self.limits), -1.0)
+        fits = alive & (demand <= left).all(axis=1)
+        whole = bool(fits.any())
+        if whole:
+            product = np.where(fits, product, -1.0)
+        best = np.flatnonzero(product == product.max())
+        return int(best[0]) if len(best) == 1 else min(best.tolist(), key=lambda k: self.lines[k][0]), whole
+
     def pack(self, until: int) -> list[tuple[int, int, int, int, int]]:
         """Close sequences until at most ``until`` tokens wait."""
-        if self.new:
-            more = np.array([(t, 1, x) for _, t, x in self.new], dtype=float)
-            self.demand = np.concatenate([self.demand, more])
-            self.at += [(e, 0) for e, _, _ in self.new]
-            self.new = []
         out = []
-        alive = np.ones(len(self.at), dtype=bool)
-        scaled = self.demand / self.limits
         while self.waiting > until:
             left, placed = self.limits.copy(), []
-            while left[0] >= 1 and left[1] >= 1 and alive.any():
-                product = np.where(alive, scaled @ (left / self.limits), -1.0)
-                fits = (self.demand <= left).all(axis=1)
-                i = int(np.where(fits, product, -1.0).argmax())
-                whole = fits[i] and alive[i]
-                if not whole:
-                    i = int(product.argmax())
-                example, start = self.at[i]
-                end = start + int(self.demand[i, 0])
+            while left[0] >= 1 and left[1] >= 1 and self.waiting:
+                line, whole = self._choose(left)
+                example, start = self.lines[line][0]
+                end = start + int(self.demand[line, 0])
                 to = end if whole else self._cut(example, start, end, left)
                 if to == start:
                     break
                 used = self._loss_between(example, start, to)
+                heapq.heappop(self.lines[line])
+                self.alive[line] = bool(self.lines[line])
+                if to < end:
+                    self._wait(example, to, end - to, int(self.demand[line, 2]) - used)
                 placed.append((example, start, to - start))
                 left -= (to - start, 1, used)
                 self.waiting -= to - start
-                if to == end:
-                    alive[i] = False
-                else:
-                    self.at[i] = (example, to)
-                    self.demand[i] = (end - to, 1, self.demand[i, 2] - used)
-                    scaled[i] = self.demand[i] / self.limits
             out += self._sequences(placed)
-        keep = np.flatnonzero(alive)
-        self.demand, self.at = self.demand[keep], [self.at[i] for i in keep]
-        live = {e for e, _ in self.at}
+        kept = [(key, self.lines[k]) for key, k in self.line_of.items() if self.lines[k]]
+        self.line_of, self.lines = {key: k for k, (key, _) in enumerate(kept)}, [line for _, line in kept]
+        for k, (tokens, loss) in enumerate(self.line_of):
+            self.demand[k] = tokens, 1, loss
+        self.alive[:] = False
+        self.alive[: len(kept)] = True
+        live = self.waiting_examples() if self.loss else ()
         self.loss = {e: x for e, x in self.loss.items() if e in live}
         return out
 
@@ -286,7 +307,7 @@ def _packed(examples: Iterator[tuple[object, bytes, np.ndarray | None]], limits:
         if packer.waiting >= window:
             if pieces := packer.pack(window // 8):
                 yield batch(pieces)
-            live = {e for e, _ in packer.at}
+            live = packer.waiting_examples()
             waiting = {e: x for e, x in waiting.items() if e in live}
     if pieces := packer.pack(0):
         yield batch(pieces)
@@ -299,24 +320,23 @@ def pack_documents(
 
     No token of the tokenizer may reach across white space; its file must lie at that path on every executor.
     """
-    id_kind, end = docs.schema["doc_id"].dataType.simpleString(), np.array([end_id], dtype="<u4").tobytes()
+    kind, end = docs.schema["doc_id"].dataType, np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path] = WordTokenizer(tokenizer_path)
-        own, seen = _TOKENIZERS[tokenizer_path], []
+        own = _TOKENIZERS[tokenizer_path]
 
         def each():
             for batch in batches:
-                seen.append(batch.schema.field(0).type)
                 for at, size in _portions(batch.column(1), 1 << 20):
                     part = batch.slice(at, size)
                     yield from zip(part.column(0).to_pylist(), (x + end for x in own.encode(part.column(1).to_pylist())), [None] * size)
 
-        yield from _packed(each(), (max_tokens, max_segments, max_loss_tokens), window, pa.int64() if id_kind == "bigint" else pa.int32() if id_kind == "int" else pa.string())
+        yield from _packed(each(), (max_tokens, max_segments, max_loss_tokens), window, to_arrow_type(kind))
 
     own = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, f"doc_id {id_kind}, {_PIECE}")
+    return own.mapInArrow(run, StructType([StructField("doc_id", kind), *StructType.fromDDL(_PIECE)]))
 
 
 def pack_examples(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int = MAX_LOSS_TOKENS, window: int = WINDOW) -> DataFrame:

@@ -307,6 +307,74 @@ def test_packing_examples_keeps_all_limits(spark):
     assert max(used.values()) <= 24 and sum(p.length for p in out) == sum(len(r[1] or []) for r in rows)
 
 
+def plain_packing(examples, limits):
+    """examples: (tokens, loss mask or None). Each placement looks at all that wait; limits are powers of two, so that all products are exact."""
+    left_over = [[i, 0, n, mask] for i, (n, mask) in enumerate(examples) if n]
+    loss = lambda mask, a, b: b - a if mask is None else int(sum(mask[a:b]))
+    sequences = []
+    while left_over:
+        left, placed = list(limits), []
+        while left[0] >= 1 and left[1] >= 1 and left_over:
+            demands = [(n - a, 1, loss(mask, a, n)) for _, a, n, mask in left_over]
+            product = [sum((x / m) * (y / m) for x, y, m in zip(d, left, limits)) for d in demands]
+            fits = [all(x <= y for x, y in zip(d, left)) for d in demands]
+            pool = [k for k in range(len(demands)) if fits[k]] or range(len(demands))
+            k = max(pool, key=lambda k: (product[k], -left_over[k][0]))
+            i, a, n, mask = left_over[k]
+            b = n
+            if not fits[k]:
+                b = a
+                while b < n and b - a < left[0] and loss(mask, a, b + 1) <= left[2]:
+                    b += 1
+            if a == b:
+                break
+            placed.append((i, a, b - a))
+            left = [left[0] - (b - a), left[1] - 1, left[2] - loss(mask, a, b)]
+            left_over[k][1] = b
+            if b == n:
+                left_over.pop(k)
+        sequences.append(placed)
+    return sequences
+
+
+@pytest.mark.parametrize("limits", [(64, 4, 64), (64, 8, 16), (128, 2, 32)])
+def test_packer_places_like_a_plain_one(limits):
+    rnd = random.Random(sum(limits))
+    examples = []
+    for _ in range(150):
+        n = rnd.choice([0, 1, 5, 5, 7, 30, 64, 200])
+        examples.append((n, None if limits[0] == limits[2] else [rnd.random() < 0.4 for _ in range(n)]))
+    packer = packing.Packer(0, *limits)
+    for i, (n, mask) in enumerate(examples):
+        packer.add(i, n, None if mask is None else np.array(mask, dtype=np.int64))
+    pieces = packer.pack(0)
+    want = [p for placed in plain_packing(examples, limits) for p in placed]
+    joined = []  # pieces cut at powers of two, together again
+    for e, s, n, q, o in pieces:
+        if joined and joined[-1][0] == e and joined[-1][1] + joined[-1][2] == s and o == 0 and (e, s) not in {(w[0], w[1]) for w in want}:
+            joined[-1] = (e, joined[-1][1], joined[-1][2] + n)
+        else:
+            joined.append((e, s, n))
+    assert joined == want
+
+
+def test_a_window_of_equal_short_texts_is_packed_in_time():
+    import time
+
+    start, packer, placed = time.time(), packing.Packer(0, 4096, 128, 4096), 0
+    for i in range(200_000):
+        packer.add(i, 1)
+    placed = len(packer.pack(0))
+    assert placed == 200_000 and time.time() - start < 60
+
+
+@pytest.mark.parametrize("kind", ["short", "int", "string", "decimal(9,0)"])
+def test_packing_takes_ids_of_any_kind(spark, kind):
+    docs = docs_of(spark, ["a b", None]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and len({r.doc_id for r in out.collect()}) == 2
+
+
 # ── pieces ──────────────────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
