@@ -10,7 +10,8 @@ Every assistant turn makes one example: all turns before it as context, then the
 is under the loss mask. What follows the last assistant turn (or a conversation without one) makes a last example
 without a mask, so that the output holds every turn.
 
-A conversation is one row while it is formatted (its digest needs that as well); its turns, not its examples, are shuffled.
+A conversation is one row while it is formatted (its digest needs that as well); its turns, not its examples, are shuffled. The expansion is quadratic in a
+conversation's turns by definition; its examples pass one by one, and reading them back holds the longest of them and the replies, never all.
 
 Defined results: a null text or role counts as empty; turns of the same number are ordered by role and text; repeated rows are
 turns of their own; a null conv_id is a conversation of its own; an empty table gives an empty result; other columns are ignored.
@@ -79,21 +80,17 @@ def examples(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted_chars) from the output of ``examples`` alone; turns: array of (role, text)."""
-    own = formatted.select(
-        "conv_id",
-        F.struct(
-            "example",
-            "formatted",
-            F.when(F.col("loss_start").isNotNull(), F.expr("substring(formatted, loss_start + 1, loss_length)")).alias("loss"),
-        ).alias("e"),
+    loss = F.when(F.col("loss_start").isNotNull(), F.expr("substring(formatted, loss_start + 1, loss_length)"))
+    own = formatted.select("conv_id", "example", "formatted", F.struct("example", loss.alias("text")).alias("loss"))
+    back = own.groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("whole"),  # the last example holds every turn
+        F.sort_array(F.collect_list(F.when(F.col("loss.text").isNotNull(), F.col("loss")))).alias("losses"),
+        F.sum(F.length("formatted").cast("long")).alias("formatted_chars"),
     )
-    back = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    whole = F.element_at("es", -1)["formatted"]
-    roles, texts = F.regexp_extract_all(whole, F.lit(_TURN), F.lit(1)), F.regexp_extract_all(whole, F.lit(_TURN), F.lit(2))
-    losses = F.transform(F.filter("es", lambda e: e["loss"].isNotNull()), lambda e: unescaped(e["loss"]))
+    roles, texts = F.regexp_extract_all("whole", F.lit(_TURN), F.lit(1)), F.regexp_extract_all("whole", F.lit(_TURN), F.lit(2))
     return back.select(
         "conv_id",
         F.zip_with(roles, texts, lambda r, t: F.struct(unescaped(r).alias("role"), unescaped(t).alias("text"))).alias("turns"),
-        F.array_join(losses, "").alias("loss_text"),
-        F.aggregate("es", F.lit(0).cast("long"), lambda a, e: a + F.length(e["formatted"])).alias("formatted_chars"),
+        F.array_join(F.transform("losses", lambda e: unescaped(e["text"])), "").alias("loss_text"),
+        "formatted_chars",
     )

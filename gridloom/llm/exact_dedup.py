@@ -1,7 +1,8 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Each input partition makes one run: its distinct digests, sorted, each with its smallest identifier and count.
-In each round the partitions exchange runs in binomial groups of 2**FAN_BITS and merge them into one longer run.
+In each round the partitions exchange runs in binomial groups of 2**FAN_BITS and merge them into one longer run: Spark's sort
+brings a group's runs into one order (it can spill), and one pass over them makes the least of equal digests and their count.
 A round also deals by the first digest bits, so that the last merge isn't one task but one for each digest range.
 A digest that a third of all rows share takes one row for each run, never more.
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, partitions
+from .shared import as_before, keep, partitions, whole_row
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A round merges 2**FAN_BITS runs.
@@ -111,13 +112,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all its columns; of repeated rows (same id, equal text) any one."""
-    key = ["_stay_no_id", "_stay_id", "_stay_digest"]
-
-    def keyed(df: DataFrame, digest: Column) -> DataFrame:
-        own = F.col("doc_id").cast("long")
-        return df.withColumns(dict(zip(key, (own.isNull(), F.coalesce(own, F.lit(0)), digest))))
-
-    stay = keyed(exact_groups(docs).where("kept"), F.col("digest")).select(*key)
-    own = keyed(docs, F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    return own.join(stay, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all its columns whatever their names; of repeated rows (same id, equal text) any one."""
+    key = ["no_id", "id", "digest"]
+    number = F.col("doc_id").cast("long")
+    keys = [number.isNull().alias("no_id"), F.coalesce(number, F.lit(0)).alias("id")]
+    stay = exact_groups(docs).where("kept").select(*keys, "digest")
+    own = docs.select(whole_row(docs).alias("doc"), *keys, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    return as_before(docs, own.join(stay, key, "left_semi").dropDuplicates(key))

@@ -192,7 +192,9 @@ def _sample_features(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np
 
     own = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     kind = own.schema["doc_id"].dataType.simpleString()
-    rows = sorted(own.mapInArrow(run, f"doc_id {kind}, label int, x array<double>").collect())
+    found = own.mapInArrow(run, f"doc_id {kind}, label int, x array<double>")
+    # one row an id, however many rows have it
+    rows = sorted(found.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("one")).select("doc_id", "one.*").collect())
     return np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.label for r in rows], dtype=float)
 
 

@@ -25,6 +25,17 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
 
 
+def as_before(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The columns of ``df`` again, from rows that hold them as ``doc``."""
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (gone_id long), with all their columns whatever their names; rows without id stay."""
+    own = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").cast("long").alias("gone_id"))
+    return as_before(docs, own.join(gone, "gone_id", "left_anti"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

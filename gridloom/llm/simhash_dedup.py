@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import keep, partitions
+from .shared import forget, keep, partitions, without_ids
 
 SEED = 42
 WORDS = 3
@@ -176,7 +176,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    gone = near_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    own = docs.withColumn("_gone_id", F.col("doc_id").cast("long"))
-    return own.join(gone, "_gone_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id is the smallest of its component, with all their columns; all rows of one id stay or go together."""
+    gone = near_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return without_ids(docs, gone)

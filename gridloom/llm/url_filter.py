@@ -1,6 +1,7 @@
 """URL filter: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees learn from the URLs that a rule decides, at most ``SAMPLE`` of them in the order of a hash of the URL.
+The trees learn from the different URLs of up to ``LONGEST`` characters that a rule decides, at most ``SAMPLE`` of them in the order of a hash of the URL;
+so at most SAMPLE * LONGEST characters reach the driver. Every URL is judged whole.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by the trees like any other;
 repeated rows are judged each; without any labelled URL the trees allow everything; other columns are ignored.
@@ -21,6 +22,8 @@ from .shared import hash_sample
 
 #: Labelled URLs that the trees learn from, at most.
 SAMPLE = 50_000
+#: Characters of a URL that the trees learn from, at most.
+LONGEST = 2000
 RULES = (
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),
@@ -121,6 +124,8 @@ def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rule, verdict = _rule(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": rule, "ruled": verdict})
     labelled = own.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("y"))
+    # each URL once, however many pages have it, and none that could make the sample large
+    labelled = labelled.where(F.length("url") <= LONGEST).dropDuplicates(["url"])
     rows = hash_sample(labelled, sample, "url").collect()
     known, model = train([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], [r.y for r in rows])
 

@@ -814,3 +814,23 @@ def test_word_memory_goes_by_bytes():
         assert memory([[f"w{i}", "x" * 60], ["often"]]) == [f"w{i}".encode() + b"x" * 60, b"often"]
         assert memory.size <= 4000 and not any(len(w) > 50 for w in memory.new)
     assert asked.count("often") == 1 and asked.count("x" * 60) == 200
+
+
+def test_a_conversation_of_ten_thousand_turns(spark):
+    turns = spark.range(10_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("### t"), "id").alias("text")
+    )
+    row = chat_format.read_back(chat_format.examples(turns)).collect()[0]
+    assert [tuple(t) for t in row.turns] == [("assistant" if i % 2 else "user", f"### t{i}") for i in range(10_000)]
+    assert row.loss_text == "".join(f"### t{i}" for i in range(1, 10_000, 2))
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """Columns called like an operator's own ones ride along."""
+    names = ["gone_id", "_gone_id", "no_id", "id", "digest", "doc", "t", "raw", "spans", "left_over", "component_id", "fp", "score", "a.b", "text_"]
+    texts = ["a b c d e f g h", "a b c d e f g h", "x", None, ""]
+    docs = docs_of(spark, texts).drop("fp").withColumns({c: F.lit(c) for c in names})
+    for keep in (exact_dedup.drop_copies, simhash_dedup.drop_near_copies, shingle_dedup.drop_near_copies, suffix_dedup.drop_repeats):
+        out = keep(docs)
+        assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.collect() for c in names)
