@@ -12,9 +12,12 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local session may go without; it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
