@@ -185,7 +185,7 @@ def plain_components(texts, words=5, similarity=0.8):
     return least
 
 
-@pytest.mark.parametrize("block", [100, 4])
+@pytest.mark.parametrize("block", [200, 4])
 def test_shingle_groups_are_those_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(shingle_dedup, "BLOCK", block)
     texts = near_copies(1, 12, 9) + ["one two", "One  two", "one", None, ""]
