@@ -834,3 +834,25 @@ def test_filters_keep_columns_of_any_name(spark):
         out = keep(docs)
         assert out.columns == docs.columns
         assert all(r[c] == c for r in out.collect() for c in names)
+
+
+@pytest.mark.parametrize("pivots", [(256, 4096), (1024, 4096)])
+def test_the_vector_index_finds_nearly_all_links(spark, monkeypatch, pivots):
+    """Pairs at the bound among lone vectors, and crowds; as queries the ids divisible by 100 and all, against brute force."""
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", pivots)
+    rng = np.random.default_rng(5)
+    lone = embedding_dedup.unit(rng.standard_normal((1500, 64)))
+    beside = rng.standard_normal((1500, 64))
+    beside = embedding_dedup.unit(beside - (beside * lone).sum(axis=1, keepdims=True) * lone)
+    crowd = embedding_dedup.unit(rng.standard_normal((1, 64))) + 0.02 * rng.standard_normal((500, 64))
+    x = np.concatenate([lone, 0.952 * lone + np.sqrt(1 - 0.952**2) * beside, crowd])[rng.permutation(3500)].astype(np.float32)
+    u = embedding_dedup.unit(x.astype(np.float64))
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = np.array([r.n_links for r in sorted(embedding_dedup.near_vectors(table).collect())])
+    assert (got <= want).all() and got.sum() >= 0.97 * want.sum() and got[::100].sum() >= 0.9 * want[::100].sum()
+    assert (got[want == 1] == 1).mean() >= 0.95  # lone pairs by themselves
+
+
+def test_pivots_grow_with_the_vectors():
+    assert [embedding_dedup.pivots_for(n) for n in (0, 1000, 10**6, 10**9)] == [256, 256, 1000, 4096]
