@@ -340,7 +340,24 @@ def region_nms(get):
     return spatial.suppressed(get("boxes")).select("page", "ord", "rank")
 
 
-@_query()
+def _kept(source: str, order: str, clash: str) -> str:
+    """Boxes of a page in an order, the list of kept ones carried along; the first entry stands for none. source: page, ord, corners, flag."""
+    none = "{'ord': CAST(-1 AS BIGINT), 'flag': false, " + ", ".join(f"'{c}': CAST(0 AS BIGINT)" for c in CORNERS) + "}"
+    own = "{'ord': o.ord, 'flag': o.flag, " + ", ".join(f"'{c}': o.{c}" for c in CORNERS) + "}"
+    return f"""WITH RECURSIVE s AS ({source}), o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY page ORDER BY {order}) AS r FROM s),
+    f AS (SELECT page, CAST(0 AS BIGINT) AS r, [{none}] AS kept FROM (SELECT DISTINCT page FROM s) p
+      UNION ALL SELECT f.page, o.r, CASE WHEN len(list_filter(f.kept, lambda k: {clash})) > 0 THEN f.kept ELSE list_append(f.kept, {own}) END FROM f JOIN o ON f.page = o.page AND o.r = f.r + 1),
+    z AS (SELECT page, unnest(kept) AS k FROM (SELECT page, kept FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY r DESC) = 1) q),
+    w AS (SELECT page, k.ord AS ord, k.flag AS flag, {', '.join(f'k.{c} AS {c}' for c in CORNERS)} FROM z WHERE k.ord >= 0)"""
+
+
+_CORNERS_A = ", ".join(f"a.{c}" for c in CORNERS)
+
+
+#: What the containment filter would drop, the suppression before it has dropped already: over half in a larger or equal one.
+@_query(_kept(f"""SELECT a.page, a.ord, {_CORNERS_A}, false AS flag FROM {{newer}} a LEFT JOIN {{older}} b ON a.page = b.page GROUP BY a.page, a.ord, {_CORNERS_A}
+                  HAVING coalesce(max({_INTER}), 0) * 2 <= {_AREA.format('a')} AND coalesce(sum({_INTER}), 0) / ({_AREA.format('a')}) <= 0.6""", "(x2 - x1) * (y2 - y1) DESC, ord", f"{_KI} / o.area > 0.5")
+        + " SELECT page, ord, x1, y1, x2, y2 FROM w")
 def filter_new_polygons(get):
     return spatial.new_regions(get("newer"), get("older"))
 
@@ -351,12 +368,23 @@ def batch_verify_filter(get):
     return spatial.verified_filter(get("newer"), get("older")).select("page", "ord")
 
 
-@_query()
+_WITHIN = "k.ord >= 0 AND (k.x2 - k.x1) * (k.y2 - k.y1) >= o.area AND " + _KI + " / o.area >= 0.85"
+
+
+@_query(_kept("SELECT page, ord, x1, y1, x2, y2, false AS flag FROM {older} d WHERE ord % 9 > 0 UNION ALL SELECT page, ord, x1, y1, x2, y2, true FROM {newer} n", "flag, ord", f"o.flag AND {_WITHIN}")
+        + f""" SELECT a.page, CASE WHEN a.flag THEN 'llm' ELSE 'di' END AS source, a.ord, {_CORNERS_A} FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.page = a.page AND (b.flag <> a.flag OR b.ord <> a.ord)
+              AND {_AREA.format('a')} <= {_AREA.format('b')} AND {_INTER} / ({_AREA.format('a')}) >= 0.85)""")
 def merged_regions(get):
     return spatial.merged_regions(get("older"), get("newer"), get("older").where("ord % 9 = 0").select("page", "ord"))
 
 
-@_query()
+_CUT = ", ".join(f"CASE WHEN least(b.x2, c.x2) > greatest(b.x1, c.x1) AND least(b.y2, c.y2) > greatest(b.y1, c.y1) THEN {'greatest' if v in ('x1', 'y1') else 'least'}(b.{v}, c.{v}) ELSE b.{v} END AS {v}" for v in CORNERS)
+_HOLDS = "{0}.x1 <= {1}.x1 AND {0}.y1 <= {1}.y1 AND {0}.x2 >= {1}.x2 AND {0}.y2 >= {1}.y2"
+
+
+#: A box in a later one goes at once; one in an earlier one goes if that is still there.
+@_query(_kept(f"""SELECT a.*, EXISTS (SELECT 1 FROM cut l WHERE l.page = a.page AND l.ord > a.ord AND {_HOLDS.format('l', 'a')}) AS flag FROM cut a""", "ord", f"o.flag OR k.ord >= 0 AND {_HOLDS.format('k', 'o')}")
+        .replace("WITH RECURSIVE s AS", f"WITH RECURSIVE cut AS (SELECT b.page, b.ord, {_CUT} FROM {{boxes}} b JOIN {{content}} c ON b.page = c.page), s AS") + " SELECT page, ord, x1, y1, x2, y2 FROM w")
 def postprocess_crops(get):
     return spatial.postprocessed(get("boxes").select("page", "ord", *CORNERS), get("content"))
 
@@ -823,9 +851,36 @@ def _all_hits(get) -> DataFrame:
     return matching.all_pass_matches(get("names"), get("lines"))
 
 
-@_query()
+_NEAR = """{1}.y1 - {0}.y2 <= greatest({0}.y2 - {0}.y1, 1) * 2.5 AND greatest(0, least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1) + 2) / greatest({0}.x2 - {0}.x1, {1}.x2 - {1}.x1, 1) >= 0.25"""
+_AROUND = lambda *a: ", ".join(f"{f}({', '.join(f'{x}.{c}' for x in a)}) AS {c}" for f, c in zip(("least", "least", "greatest", "greatest"), CORNERS))
+_IN = "contains({1}.normed, {0}.normed) AND regexp_matches({1}.normed, concat('(^|[^a-z0-9-])', {0}.normed, '($|[^a-z0-9-])'))"
+_SAME_SERIAL = f"""CAST(nullif({_SER.format('n.normed', 2)}, '') AS BIGINT) >= 10 AND CAST(nullif({_SER.format('n.normed', 2)}, '') AS BIGINT) = CAST(nullif({_SER.format('l.normed', 2)}, '') AS BIGINT)
+    AND {_SER.format('n.normed', 3)} = {_SER.format('l.normed', 3)}
+    AND abs(length(regexp_replace({_SER.format('n.normed', 1)}, '[^a-z0-9]', '', 'g')) - length(regexp_replace({_SER.format('l.normed', 1)}, '[^a-z0-9]', '', 'g'))) <= 2"""
+#: All hits as ``ah``: what fits, in order, and whether it counts, with the boxes and lines that have counted carried along.
+_ALL = f"""WITH RECURSIVE {_FORMS}, rl AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1, x1, ord) AS place FROM l),
+    m AS (SELECT a.page, a.place, 2 AS n, [a.ord, b.ord] AS lines, concat(a.normed, ' ', b.normed) AS normed, {_AROUND('a', 'b')} FROM rl a JOIN rl b ON a.page = b.page AND b.place = a.place + 1 WHERE {_NEAR.format('a', 'b')}
+          UNION ALL SELECT a.page, a.place, 3, [a.ord, b.ord, c.ord], concat(a.normed, ' ', b.normed, ' ', c.normed), {_AROUND('a', 'b', 'c')} FROM rl a JOIN rl b ON a.page = b.page AND b.place = a.place + 1
+          JOIN rl c ON a.page = c.page AND c.place = a.place + 2 WHERE {_NEAR.format('a', 'b')} AND {_NEAR.format('b', 'c')}),
+    mb AS (SELECT *, {_BARE.format('normed')} AS bare FROM m),
+    sg AS (SELECT n.page, n.name, n.ord AS name_ord, l.ord, l.place, l.x1, l.y1, l.x2, l.y2, CASE WHEN n.normed = l.normed OR ({_IN.format('n', 'l')}) THEN 1 WHEN {_ALIKE} THEN 2
+             WHEN list_has_all(string_split(l.normed, ' '), string_split(n.normed, ' ')) THEN 3 WHEN {_confused_sql('alpha', 4, True)} THEN 4 WHEN {_confused_sql('bare', 3, False)} THEN 5
+             WHEN {_SAME_SERIAL} THEN 6 END AS pass FROM n JOIN rl l ON n.page = l.page),
+    ev AS (SELECT page, name, name_ord, pass, CASE WHEN pass = 3 THEN place ELSE ord END AS spot, 1 AS n, ['rule-single', 'rule-alphanum', 'rule-token', 'rule-ocr-sub', 'rule-ocr-sub-lz', 'rule-serial-num'][pass] AS method,
+             [ord] AS lines, x1, y1, x2, y2 FROM sg WHERE pass IS NOT NULL
+           UNION ALL SELECT n.page, n.name, n.ord, 3, l.place, l.n, concat('rule-merge', l.n), l.lines, l.x1, l.y1, l.x2, l.y2 FROM n JOIN mb l ON n.page = l.page
+             WHERE list_has_all(string_split(l.normed, ' '), string_split(n.normed, ' ')) OR ({_IN.format('n', 'l')}) OR ({_IN.format('l', 'n')}) OR ({_ALIKE})),
+    oe AS (SELECT *, concat_ws(',', x1, y1, x2, y2) AS box, row_number() OVER (PARTITION BY page, name, name_ord ORDER BY pass, spot, n) AS k FROM ev),
+    f AS (SELECT page, name, name_ord, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS boxes, CAST([] AS BIGINT[]) AS taken, false AS counts FROM (SELECT DISTINCT page, name, name_ord FROM oe) q
+      UNION ALL SELECT f.page, f.name, f.name_ord, oe.k, CASE WHEN out THEN f.boxes ELSE list_append(f.boxes, box) END, CASE WHEN out OR n > 1 THEN f.taken ELSE list_append(f.taken, lines[1]) END, NOT out
+      FROM f JOIN oe ON f.page = oe.page AND f.name = oe.name AND f.name_ord = oe.name_ord AND oe.k = f.k + 1, LATERAL (SELECT list_contains(f.boxes, oe.box) OR list_has_any(f.taken, oe.lines) AS out) t),
+    ah AS (SELECT oe.page, oe.name, oe.name_ord, method, lines, x1, y1, x2, y2, row_number() OVER (PARTITION BY oe.page, oe.name, oe.name_ord ORDER BY oe.k) - 1 AS hit_ord
+           FROM oe JOIN f ON f.page = oe.page AND f.name = oe.name AND f.name_ord = oe.name_ord AND f.k = oe.k WHERE f.counts)"""
+
+
+@_query(f"{_ALL} SELECT page, name, name_ord, method, list_aggregate(list_transform(lines, lambda v: CAST(v AS VARCHAR)), 'string_agg', ',') AS lines, x1, y1, x2, y2, hit_ord FROM ah")
 def match_all_passes_b(get):
-    return _all_hits(get)
+    return _all_hits(get).withColumn("lines", F.array_join("lines", ","))
 
 
 def _hits_and_texts(get) -> tuple[DataFrame, DataFrame]:
@@ -836,10 +891,16 @@ def _hits_and_texts(get) -> tuple[DataFrame, DataFrame]:
     return hits, texts_of(hits, get("lines"))
 
 
-@_query()
+_FOUND = f"""{_ALL}, ht AS (SELECT h.*, (SELECT string_agg(l.content, ' ' ORDER BY list_position(h.lines, l.ord)) FROM l WHERE l.page = h.page AND list_contains(h.lines, l.ord)) AS found FROM ah h),
+    sc AS (SELECT *, {_ALPHA.format('name')} AS na, {_ALPHA.format('found')} AS fa FROM ht)"""
+_RANKED = "CASE method " + " ".join(f"WHEN '{m}' THEN {r}" for m, r in matching.METHOD_RANK.items()) + " ELSE 5 END"
+
+
+@_query(f"""{_FOUND}, wn AS (SELECT page, x1, y1, x2, y2, name FROM sc QUALIFY row_number() OVER (PARTITION BY page, x1, y1, x2, y2 ORDER BY CASE WHEN na <> fa THEN 1 ELSE 0 END, {_RANKED}, abs(length(na) - length(fa)), length(name), name) = 1)
+            SELECT page, name, name_ord, method, list_aggregate(list_transform(lines, lambda v: CAST(v AS VARCHAR)), 'string_agg', ',') AS lines, x1, y1, x2, y2, hit_ord FROM ah JOIN wn USING (page, name, x1, y1, x2, y2)""")
 def bbox_conflict_winner(get):
     hits, texts = _hits_and_texts(get)
-    return matching.conflict_winners(hits, texts.drop("hit_ord"))
+    return matching.conflict_winners(hits, texts.drop("hit_ord")).withColumn("lines", F.array_join("lines", ","))
 
 
 #: One winner for each box, on simple hits that SQL can make as well.
@@ -859,7 +920,7 @@ def multi_position(get):
     return matching.single_positions(hits, get("lines"), texts.select("page", "name", "hit_ord", "found")).select("page", "name", "hit_ord", "penalty", "clear")
 
 
-@_query()
+@_query(f"{_ALL} SELECT page, name, hit_ord, method, CAST(0.8 AS DOUBLE) AS confidence FROM ah WHERE hit_ord = 0")
 def best_hit(get):
     return matching.first_hits(_all_hits(get)).select("page", "name", "hit_ord", "method", "confidence")
 
