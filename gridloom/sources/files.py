@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
@@ -43,6 +44,34 @@ def crops(spark: SparkSession, root: str) -> DataFrame:
     return got.select("page", "idx", "path", *[c.cast("int").alias(n) for n, c in box.items()])
 
 
+# Where a run keeps what it makes of a page and a crop. {page} and {crop} are numbers, {round} an attempt's.
+NAMES = {
+    "page_image": "page{page}/page{page}.png",
+    "page_images": "page{page}/images",
+    "crop_image": "page{page}/image_{page}_{crop}.png",
+    "crop_polygon": "page{page}/image_{page}_{crop}.txt",
+    "crop_overlay": "page{page}/image_overlay_{page}_{crop}.png",
+    "page_overlay": "page{page}/image_overlay_{page}_{crop}_overall.png",
+    "round_image": "page{page}/image_{page}_{crop}_iter{round}.png",
+    "round_overlay": "page{page}/image_{page}_{crop}_iter{round}_overlay.png",
+    "final_image": "page{page}/image_{page}_{crop}_final.png",
+}
+
+
+def named(kind: str, root: str, **numbers: Column | int) -> Column:
+    """The path of ``kind`` (see NAMES) under a root, of columns or numbers."""
+    parts = re.split(r"{(\w+)}", NAMES[kind])
+    filled = [F.lit(p) if i % 2 == 0 else F.lit(numbers[p]).cast("string") for i, p in enumerate(parts)]
+    return F.concat(F.lit(root.rstrip("/") + "/"), *filled)
+
+
+def first_existing(spark: SparkSession, wanted: DataFrame, root: str) -> DataFrame:
+    """wanted (key, priority, path) -> (key, path): of each key the existing path of the smallest priority. The folder is listed once, by Spark."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("there"))
+    own = wanted.withColumn("there", F.regexp_replace("path", "^file:/+", "/")).join(there, "there", "left_semi")
+    return own.groupBy("key").agg(F.min_by("path", "priority").alias("path"))
+
+
 def document_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, digest): SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("digest"))

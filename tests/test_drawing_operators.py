@@ -438,3 +438,78 @@ def test_grid_finds_solid_lines(spark, kind):
     segments = spark.createDataFrame([(0, kind, p, float(s), float(s + 390)) for p in (100, 300, 620, 800) for s in (20, 410)], "page long, axis string, pos long, s0 double, s1 double")
     pages = spark.createDataFrame([(0, 900, 900)], "page long, w long, h long")
     assert {r.pos for r in rulings.grid(segments, pages).collect()} == {100, 300, 620, 800}
+
+
+# ── tiling from end to end, crops, names, settings ──────────────────────────────────────────────────────────────────────────
+
+
+def test_page_tiles(spark):
+    pages = spark.createDataFrame([(0, 900, 700), (1, 1500, 800), (2, 2100, 1600)], "page long, w int, h int")
+    candidates = spark.createDataFrame([(1, "v", 1, 790), (1, "v", 0, 700), (1, "h", 0, 400), (2, "v", 0, 100)], "page long, axis string, priority int, pos long")
+    got = {}
+    for r in tiling.page_tiles(pages, candidates).orderBy("page", "tile").collect():
+        got.setdefault(r.page, []).append((r.x1, r.y1, r.x2, r.y2))
+    assert got[0] == [(0, 0, 900, 700)]
+    assert got[1] == [(0, 0, 900, 800), (500, 0, 1500, 800)]  # cut at 700, the better candidate; the short side whole
+    # one level cut would do, two bring tiles nearer to 4 : 3
+    assert [t[:3:2] for t in got[2][:3]] == [(0, 900), (500, 1600), (1200, 2100)] and len(got[2]) == 9
+    assert [t[1::2] for t in got[2][::3]] == [(0, 733), (333, 1266), (866, 1600)]
+    white = spark.createDataFrame([(2, 1)], "page long, tile int")
+    assert tiling.not_white(tiling.page_tiles(pages, candidates), white).where("page = 2").count() == 8
+
+
+def test_crops_are_readable_images(spark):
+    import base64
+    import io
+
+    from gridloom.functions import pixels
+
+    rng = np.random.default_rng(3)
+    grey, color = rng.integers(0, 255, (6, 8), dtype=np.uint8), rng.integers(0, 255, (6, 8, 3), dtype=np.uint8)
+    images = spark.createDataFrame([(0, 8, 6, bytearray(grey.tobytes())), (1, 8, 6, bytearray(color.tobytes()))], "page long, w int, h int, pixels binary")
+    boxes = spark.createDataFrame([(0, 1, 2, 1, 5, 4), (1, 1, 2, 1, 5, 4), (1, 2, 9, 9, 12, 12)], "page long, ord long, x1 long, y1 long, x2 long, y2 long")
+    rows = {(r.page, r.ord): r for r in pixels.cropped(images, boxes, 1).collect()}
+    assert set(rows) == {(0, 1), (1, 1)} and (rows[0, 1].x1, rows[0, 1].y2) == (1, 5)
+    assert pixels.data_url(b"x") == "data:image/png;base64," + base64.b64encode(b"x").decode()
+    assert _png_pixels(io.BytesIO(bytes(rows[0, 1].file))).tolist() == grey[0:5, 1:6].tolist()
+    assert _png_pixels(io.BytesIO(bytes(rows[1, 1].file))).tolist() == color[0:5, 1:6, ::-1].tolist()
+
+
+def _png_pixels(file):
+    """Of an eight-bit PNG whose rows are unfiltered."""
+    import struct
+    import zlib
+
+    assert file.read(8) == b"\x89PNG\r\n\x1a\n"
+    data, head = b"", None
+    while chunk := file.read(8):
+        n, kind = struct.unpack(">I4s", chunk)
+        body = file.read(n)
+        assert struct.unpack(">I", file.read(4))[0] == zlib.crc32(kind + body)
+        head = struct.unpack(">IIBB", body[:10]) if kind == b"IHDR" else head
+        data += body if kind == b"IDAT" else b""
+    w, h, depth, kind = head
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, -1)
+    assert depth == 8 and not rows[:, 0].any()
+    return rows[:, 1:] if kind == 0 else rows[:, 1:].reshape(h, w, 3)
+
+
+def test_names_and_settings(spark, tmp_path):
+    from gridloom.sources import files
+    from gridloom.sources.store import Settings, StepStore
+
+    one = spark.range(1).select(files.named("round_overlay", "/r/", page=F.lit(3), crop=F.col("id"), round=2).alias("p")).first().p
+    assert one == "/r/page3/image_3_0_iter2_overlay.png"
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/b.png").write_bytes(b"b")
+    wanted = spark.createDataFrame([(1, 0, f"{tmp_path}/pages/a.png"), (1, 1, f"{tmp_path}/pages/b.png"), (2, 0, f"{tmp_path}/pages/c.png")], "key long, priority int, path string")
+    assert [(r.key, r.path) for r in files.first_existing(spark, wanted, str(tmp_path / "pages")).collect()] == [(1, f"{tmp_path}/pages/b.png")]
+    assert Settings.from_environment({"grid_size": "90", "TILE": "800", "HITL_CONFIDENCE_THRESHOLD": ""}, tile=700) == Settings(grid=90, tile=700)
+    with pytest.raises(ValueError):
+        Settings.from_environment({"GRID_SIZE": "many"})
+    store = StepStore(spark, str(tmp_path / "store"))
+    store.save(spark.range(3), "a", 1)
+    assert store.files("a", 1) == [f for f in store.files("a") if "step=1" in f] and any(f.endswith("_SUCCESS") for f in store.files("a"))
+    assert store.copy_files("a", "b") == len(store.files("a")) and store.load("b", 1).count() == 3 and store.files("none") == []
+    failed = store.save_each({"good": (spark.range(2), "x/good"), "bad": (spark.range(1).select(F.raise_error(F.lit("no")).alias("c")), "x/bad"), "last": (spark.range(1), "x/last")})
+    assert list(failed) == ["bad"] and spark.read.parquet(f"{tmp_path}/store/x/last").count() == 1
