@@ -591,7 +591,14 @@ def _panel_seeds(get) -> DataFrame:
     return get("boxes").select("page", F.col("ord").alias("id"), F.concat(F.lit("P"), (F.col("ord") % 12).cast("string")).alias("name"), F.col("x1").alias("seed_x"), F.col("y1").alias("seed_y"))
 
 
-@_query()
+_MOVED = lambda c, axis: f"coalesce((SELECT min(pos) FROM lines0 l WHERE l.page = s.page AND l.axis = '{axis}' AND pos > s.{c} AND pos - s.{c} < 50) + 50, s.{c})"
+_SIDE = lambda f, axis, test: f"(SELECT {f}(pos) FROM live l WHERE l.page = s.page AND l.axis = '{axis}' AND pos {test})"
+
+
+@_query(f"""WITH {_CLUSTERED}, {_STRETCHES}, live AS (SELECT DISTINCT page, axis, pos FROM lines0 l WHERE EXISTS (SELECT 1 FROM st t WHERE t.page = l.page AND t.axis = l.axis AND abs(t.pos - l.pos) <= 2)),
+    m1 AS (SELECT s.page, s.ord AS id, concat('P', s.ord % 12) AS name, {_MOVED('x1', 'v')} AS sx, {_MOVED('y1', 'h')} AS sy FROM {{boxes}} s),
+    p AS (SELECT s.*, coalesce({_SIDE('max', 'v', '< sx')}, 5) AS l, coalesce({_SIDE('min', 'v', '> sx')}, {PAGE_W} - 5) AS r, coalesce({_SIDE('max', 'h', '< sy')}, 5) AS t, coalesce({_SIDE('min', 'h', '> sy')}, {PAGE_H} - 5) AS b FROM m1 s)
+    SELECT page, id, name, least(l, r) AS x1, least(t, b) AS y1, greatest(l, r) AS x2, greatest(t, b) AS y2, sx AS seed_x, sy AS seed_y FROM p""")
 def panel_boundaries(get):
     lines = _lines(get)
     return rulings.panels_between(_panel_seeds(get), lines, rulings.merged_intervals(get("segments"), lines), get("pages"))
@@ -914,7 +921,12 @@ def bbox_conflict_winner_simple(get):
     return matching.conflict_winners(hits.drop("found").distinct(), hits.select("page", "name", *CORNERS, "found")).distinct()
 
 
-@_query()
+@_query(f"""{_FOUND}, q AS (SELECT *, count(*) OVER (PARTITION BY page, name) AS n, (y1 + y2) / 2 AS cy FROM ht),
+    rf AS (SELECT page, x1 AS mx, (y1 + y2) / 2 AS my FROM {{lines}} WHERE regexp_matches(content, '(?i)\\b(from|to|ref|see|via|cable)\\b')),
+    pn AS (SELECT q.page, q.name, q.hit_ord, CASE WHEN EXISTS (SELECT 1 FROM rf WHERE rf.page = q.page AND abs(my - cy) <= 20 AND abs(mx - q.x1) <= 300) THEN 100.0 ELSE 0.0 END
+             + CASE WHEN regexp_matches(found, '(?i)\\b(from|to|ref|see|via|cable)\\b') THEN 100.0 ELSE 0.0 END + coalesce((SELECT min(abs(q.cy - o.cy)) FROM q o WHERE o.n = 1 AND o.page = q.page), 0.0) AS penalty FROM q WHERE n > 1),
+    rk AS (SELECT *, row_number() OVER w AS k, lead(penalty) OVER w AS next FROM pn WINDOW w AS (PARTITION BY page, name ORDER BY penalty, hit_ord))
+    SELECT page, name, hit_ord, CAST(0 AS DOUBLE) AS penalty, true AS clear FROM q WHERE n = 1 UNION ALL SELECT page, name, hit_ord, CAST(penalty AS DOUBLE), next - penalty >= 30 FROM rk WHERE k = 1""")
 def multi_position(get):
     hits, texts = _hits_and_texts(get)
     return matching.single_positions(hits, get("lines"), texts.select("page", "name", "hit_ord", "found")).select("page", "name", "hit_ord", "penalty", "clear")
