@@ -991,7 +991,18 @@ def serial_align(get):
     return matching.aligned_lines(matched, matching.unmatched_names(get("names"), matched), get("lines"))
 
 
-@_query()
+#: Lines in reading order; of each, the lower ones that end its search or join it, in order; the lines that have been taken are carried along.
+@_query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1, x1, ord) AS r FROM {lines} v),
+    cd AS (SELECT page, r, list({'j': j, 'ok': NOT far} ORDER BY j) AS c FROM (SELECT a.page, a.r, b.r AS j, b.y1 - a.y2 > 1.5 * (greatest(a.y2 - a.y1, 1) + greatest(b.y2 - b.y1, 1)) / 2 AS far,
+             greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / greatest(a.x2 - a.x1, b.x2 - b.x1, 1) >= 0.3 AS wide FROM o a JOIN o b ON a.page = b.page AND b.r > a.r AND b.y1 >= a.y2 - 2) t WHERE far OR wide GROUP BY page, r),
+    oc AS (SELECT o.page, o.r, coalesce(c, []) AS c FROM o LEFT JOIN cd ON o.page = cd.page AND o.r = cd.r),
+    f AS (SELECT page, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS mate FROM (SELECT DISTINCT page FROM o) p
+      UNION ALL SELECT f.page, oc.r, CASE WHEN one.ok AND NOT list_contains(f.used, oc.r) THEN list_append(f.used, one.j) ELSE f.used END, CASE WHEN one.ok AND NOT list_contains(f.used, oc.r) THEN one.j END
+      FROM f JOIN oc ON f.page = oc.page AND oc.r = f.r + 1, LATERAL (SELECT list_filter(oc.c, lambda x: NOT list_contains(f.used, x.j))[1] AS one) t),
+    z AS (SELECT page, unnest(used) AS r FROM (SELECT page, used FROM f QUALIFY row_number() OVER (PARTITION BY page ORDER BY r DESC) = 1) q)
+    SELECT a.page, a.ord, CASE WHEN b.page IS NULL THEN a.content ELSE concat(trim(a.content), ' ', trim(b.content)) END AS content, least(a.x1, coalesce(b.x1, a.x1)) AS x1, least(a.y1, coalesce(b.y1, a.y1)) AS y1,
+           greatest(a.x2, coalesce(b.x2, a.x2)) AS x2, greatest(a.y2, coalesce(b.y2, a.y2)) AS y2, b.page IS NOT NULL AS merged
+    FROM o a JOIN f ON f.page = a.page AND f.r = a.r LEFT JOIN o b ON b.page = f.page AND b.r = f.mate WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.page = a.page AND z.r = a.r)""")
 def merge_split_lines(get):
     return matching.split_lines_merged(get("lines"))
 
