@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
 from gridloom.functions import text as X
+from gridloom.sources.scratch import keep
 
 from .folds import fold_groups, with_number
 
@@ -64,7 +65,9 @@ def first_pass_matches(names: DataFrame, lines: DataFrame, max_merge: int = 3) -
     Passes: equal, alphanumerically alike, one part of the other, up to max_merge + 1 lines together alike, one character apart.
     A name or line without letters and digits is part of nothing.
     """
-    n, line = prepared(names, "name").alias("n"), prepared(lines, "content").alias("l")
+    # each is read twice, so their normal forms are written
+    asked, read = keep(prepared(names, "name"), "names"), keep(prepared(lines, "content"), "lines")
+    n, line = asked.alias("n"), read.alias("l")
     na, la = F.col("n.alpha"), F.col("l.alpha")
     part = (F.length(na) >= 3) & (F.length(la) > 0) & (la.contains(na) | na.contains(la))
     passes = (
@@ -78,9 +81,9 @@ def first_pass_matches(names: DataFrame, lines: DataFrame, max_merge: int = 3) -
     )
     single = single.where("method is not null")
     # what a run of lines reads like is its lines' letters and digits one after the other, so being alike is an equality to join on
-    runs = stacks(prepared(lines, "content"), max_merge + 1).withColumn("bare", X.strip_zeros(F.array_join(F.transform("ls", lambda r: r["alpha"]), "")))
+    runs = stacks(read, max_merge + 1).withColumn("bare", X.strip_zeros(F.array_join(F.transform("ls", lambda r: r["alpha"]), "")))
     merged = runs.withColumn("folded", X.folded(F.col("bare"))).where(F.length("bare") >= 3).alias("m")
-    asked = prepared(names, "name").withColumn("folded", X.folded(F.col("bare"))).alias("n")
+    asked = asked.withColumn("folded", X.folded(F.col("bare"))).alias("n")
     several = asked.join(merged, (F.col("n.page") == F.col("m.page")) & (F.col("n.folded") == F.col("m.folded")))
     several = several.select(
         "n.page", "n.name", F.col("n.ord").alias("name_ord"), F.lit("multi_line_merge").alias("method"), (F.col("m.place") * 100 + F.col("m.n")).cast("long").alias("ord"),
@@ -205,7 +208,8 @@ def all_pass_matches(names: DataFrame, lines: DataFrame, max_merge: int = 3, lea
     other, in reading order), that are one confusable character away, with and without zeros, and that end in the same number. What fits is joined
     and tested as a set; only which of a name's fits count depends on those before, and that folds over them in one expression.
     """
-    n, line = (prepared(df, text).withColumns({"words": _words(F.col("normed")), "serial": X.serial(F.col("normed"))}) for df, text in ((names, "name"), (lines, "content")))
+    forms = lambda df, text: prepared(df, text).withColumns({"words": _words(F.col("normed")), "serial": X.serial(F.col("normed"))})
+    n, line = keep(forms(names, "name"), "names"), keep(forms(lines, "content"), "lines")  # each is read twice
     fits = _single_events(n, line).unionByName(_run_events(n, line, max_merge, least))
     hits = fits.groupBy("page", "name", "name_ord").agg(_counted(F.sort_array(F.collect_list("event"))).alias("hits"))
     each = hits.select("page", "name", "name_ord", F.posexplode("hits").alias("hit_ord", "h"))

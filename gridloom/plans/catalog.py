@@ -961,13 +961,31 @@ def serial_linreg(get):
     return fit.select("page", "prefix", "n", *[F.round(c, 6).alias(c) for c in ("mean_number", "mean_cx", "mean_cy", "slope_cx", "slope_cy")])
 
 
-@_query()
+def _placed_rows(order: str, tolerance: int) -> str:
+    """``rw``: places with the row they fall into, by the first place of each row that is near enough."""
+    near = f"abs(pr.cy - x) <= {tolerance}"
+    return f"""WITH RECURSIVE {_MATCHED}, pr AS (SELECT *, row_number() OVER (PARTITION BY page, prefix ORDER BY {order}) AS r FROM pl),
+    f AS (SELECT page, prefix, CAST(0 AS BIGINT) AS r, CAST([] AS DOUBLE[]) AS firsts FROM (SELECT DISTINCT page, prefix FROM pl) q
+      UNION ALL SELECT f.page, f.prefix, pr.r, CASE WHEN len(list_filter(f.firsts, lambda x: {near})) > 0 THEN f.firsts ELSE list_append(f.firsts, pr.cy) END
+      FROM f JOIN pr ON f.page = pr.page AND f.prefix = pr.prefix AND pr.r = f.r + 1),
+    rw AS (SELECT pr.*, list_position(list_transform(f.firsts, lambda x: {near}), true) AS row FROM pr JOIN f ON f.page = pr.page AND f.prefix = pr.prefix AND f.r = pr.r)"""
+
+
+@_query(f"""{_placed_rows('cy, number, cx', 40)}, ft AS (SELECT page, prefix, row, min(number) AS low, max(number) AS high, avg(number) AS mean, avg(cx) AS mx, avg(cy) AS my,
+              CASE WHEN min(number) < max(number) THEN covar_pop(cx, number) / var_pop(number) ELSE 0 END AS sx, CASE WHEN min(number) < max(number) THEN covar_pop(cy, number) / var_pop(number) ELSE 0 END AS sy FROM rw GROUP BY page, prefix, row),
+            ms AS (SELECT n.page, n.name, {_SER.format('n.normed', 1)} AS prefix, CAST({_SER.format('n.normed', 2)} AS BIGINT) AS number FROM n WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.page = n.page AND mt.name = n.name)),
+            b AS (SELECT ms.page, ms.name, number, ft.* EXCLUDE (page, prefix) FROM ms JOIN ft ON ms.page = ft.page AND ms.prefix = ft.prefix
+                  QUALIFY row_number() OVER (PARTITION BY ms.page, ms.name ORDER BY CASE WHEN number BETWEEN low AND high THEN 0 ELSE least(abs(number - low), abs(number - high)) END + high - low, row) = 1)
+            SELECT page, name, round(CAST(mx + sx * (number - mean) AS DOUBLE), 6) AS cx, round(CAST(my + sy * (number - mean) AS DOUBLE), 6) AS cy FROM b""")
 def serial_position_hints(get):
     matched = _matched(get)
-    return matching.position_hints(matched, matching.unmatched_names(get("names"), matched))
+    hints = matching.position_hints(matched, matching.unmatched_names(get("names"), matched))
+    return hints.select("page", "name", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-@_query()
+@_query(f"""{_placed_rows('cy, cx, name', 400)}, nx AS (SELECT *, lead(number) OVER w AS next, lead(name) OVER w AS next_name FROM rw WINDOW w AS (PARTITION BY page, prefix, row ORDER BY cx, name)),
+            d AS (SELECT *, CASE WHEN coalesce(sum(CAST(next > number AS INTEGER)) OVER g, 0) >= coalesce(sum(CAST(next < number AS INTEGER)) OVER g, 0) THEN 1 ELSE -1 END AS direction FROM nx WINDOW g AS (PARTITION BY page, prefix, row))
+            SELECT page, prefix, name, next_name, direction FROM d WHERE (direction = 1 AND next < number) OR (direction = -1 AND next > number)""")
 def serial_inversions(get):
     return matching.inversions(_matched(get), 400)
 
