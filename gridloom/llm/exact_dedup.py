@@ -49,7 +49,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
-        now = now if held is None else pa.concat_tables([held, now])
+        now = now if held is None else pa.concat_tables([held, now.cast(held.schema)])  # Spark's columns may be marked as without nulls
         if now.num_rows == 0:
             continue
         now = now.combine_chunks()

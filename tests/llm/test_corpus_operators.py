@@ -60,6 +60,17 @@ def test_exact_groups_keep_the_smallest_id_of_equal_texts(spark):
     )
 
 
+def test_exact_groups_across_arrow_batches(spark):
+    """A task of several batches failed: what was held had nullable columns, the next batch had not."""
+    docs = docs_of(spark, [f"text {i % 60}" for i in range(200)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (i % 60, 4 if i % 60 < 20 else 3) for i in range(200)}
+
+
 def test_exact_dedup_of_many_runs_agrees_with_a_dictionary(spark):
     rnd = random.Random(1)
     texts = [f"text {rnd.randrange(60)}" if rnd.random() < 0.7 else "hot copy" for _ in range(900)]
