@@ -1,12 +1,15 @@
 """Near-duplicates by the similarity of word shingles.
 
-Documents link where the Jaccard similarity of their sets of ``WORDS``-word shingles is ``SIMILARITY`` or more. Candidates are those that
-agree on one of ``BANDS`` bands of ``ROWS`` minimum hashes: a pair of similarity .8 meets but for 7 in a million, a pair of higher
-similarity but for less. Every link is verified on the shingles themselves.
+Documents link where the Jaccard similarity of their sets of ``WORDS``-word shingles is ``SIMILARITY`` or more. Candidates come from SimHash
+fingerprints of these sets by the pivot distance tables of ``simhash_dedup``, none of ``RADIUS`` or fewer differing bits lost. Pairs near the bound differ in more
+bits than tables can select by (9.7 of 64 on average at .8), so what the fingerprints leave apart also meets where it agrees on one of ``BANDS`` bands of
+``ROWS`` minimum hashes: a pair of similarity .8 does but for 7 in a million, a pair of higher similarity but for less. Every link is verified
+on the shingles themselves.
 
-Equal shingle sets are one class before any of this. Of a set of classes with an equal band, each is first verified with one leader. In sets of
-three or more that this leaves in several components, classes of the largest component don't meet each other again: blocks of ``BLOCK`` of them meet blocks
-of the rest, and those meet each other, each pair of blocks in a task of its own. What leaves a task is one pair a class, never all pairs.
+Equal shingle sets are one class before any of this. Of a set of classes (a component of fingerprints; then an equal band, as far as several components
+have it) each is first verified with one leader. In sets of three or more that this leaves in several components, classes of the largest component don't meet
+each other again: blocks of ``BLOCK`` of them meet blocks of the rest, and those meet each other, each pair of blocks in a task of its own. What
+leaves a task is one pair a class, never all pairs.
 
 Shingles travel as 32-bit hashes, sorted; sets of n and m shingles count one too many in common with a chance of n * m / 2**32, which decides
 only where a pair is one shingle from the bound. Bands and classes come from 64 bits.
@@ -26,12 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .graph import components
 from .shared import forget, keep, partitions, without_ids
 
 SEED = 42
 WORDS = 5
 SIMILARITY = 0.8
+#: Differing bits of two fingerprints up to which the pivot tables bring classes together.
+RADIUS = 5
 BANDS, ROWS = 30, 5
 #: Classes of one set that one task compares with as many others.
 BLOCK = 200
@@ -68,7 +74,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, n, bands, shingles): fp is a digest of the set of shingles, n their number."""
+    """(doc_id, fp, n, bands, shingles, sim): fp is a digest of the set of shingles, n their number, sim their SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +87,12 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts))
                 )
                 short = [np.unique(h.astype(np.int32)) for h in found]
-                cols = [part.column(0), pa.array(fps), pa.array(n), lists([bands(h) for h in found]), lists(short)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n", "bands", "shingles"])
+                sims = np.array([simhash_dedup.fingerprint_of(h.view(np.uint64)) for h in found], dtype=np.uint64).view(np.int64)
+                cols = [part.column(0), pa.array(fps), pa.array(n), lists([bands(h) for h in found]), lists(short), pa.array(sims)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n", "bands", "shingles", "sim"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long, n long, bands array<long>, shingles array<int>")
+    return own.mapInArrow(run, "doc_id long, fp long, n long, bands array<long>, shingles array<int>, sim long")
 
 
 def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -94,9 +101,10 @@ def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
 
 
 def _leader_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """members: (key, fp, n). Verified links (a, b) of each set's members with the set's leader."""
-    leader = members.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"))
-    pairs = members.join(leader, "key").where(F.col("fp") != F.col("lead.fp")).where(_enough(F.least("n", "lead.n"), F.col("n"), F.col("lead.n"), similarity))
+    """members: (key, fp, n), and root if some are known to be of one component. Verified links (a, b) of each set's members with the set's leader."""
+    members = members if "root" in members.columns else members.withColumn("root", F.col("fp"))
+    leader = members.groupBy("key").agg(F.min(F.struct("fp", "n", "root")).alias("lead"))
+    pairs = members.join(leader, "key").where(F.col("root") != F.col("lead.root")).where(_enough(F.least("n", "lead.n"), F.col("n"), F.col("lead.n"), similarity))
     pairs = pairs.select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
     # a leader of many is dealt to as many parts, so that none has them all
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
@@ -187,20 +195,47 @@ def _links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similar
     return rows.mapInArrow(_block_links(similarity), "a long, b long")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """rows: distinct (key, fp, n). Those of keys that several classes have."""
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    return rows.join(several, "key")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members: (key, fp, n). Those of sets that several components have, with their root."""
+    rooted = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rooted.join(several, "key")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of those of ``roots`` and links (a, b) between them."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document: doc_id, fp, component_id."""
     found = keep(sets_of(docs, words), "shingles")
     ids_of = keep(found.select("doc_id", "fp"), "fingerprints")  # stays, while the shingles go
     classes = keep(ids_of.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    banded = found.select("fp", "n", F.explode("bands").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = keep(banded.join(shared, "key"), "members")
+    # what is near by fingerprint
+    sims = keep(found.select("fp", "n", "sim").distinct(), "sims")
+    tables = components(simhash_dedup.links(sims.select(F.col("sim").alias("fp")).distinct(), RADIUS))
+    near = keep(_shared(sims.join(tables, sims.sim == tables.node, "left").select(F.coalesce("root", "sim").alias("key"), "fp", "n")), "near")
+    sets = keep(found.select("fp", "shingles").join(near.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    led = keep(_leader_links(near, sets, similarity), "led")
+    roots = components(led)
+    across = keep(_links_across(near, roots, sets, similarity), "across")
+    roots = _joined(roots, across)
+    forget(near, sets, led, across, sims)
+    # what fingerprints leave apart
+    members = keep(_apart(_shared(found.select("fp", "n", F.explode("bands").alias("key")).distinct()), roots), "members")
     sets = keep(found.select("fp", "shingles").join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     led = keep(_leader_links(members, sets, similarity), "led")
-    across = _links_across(members, components(led), sets, similarity)
-    links = keep(led.unionByName(across), "near")
+    roots = _joined(roots, led)
+    across = keep(_links_across(members.drop("root"), roots, sets, similarity), "across")
     forget(led, members, sets, found)
-    roots = components(links)
+    roots = _joined(roots, across)
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return ids_of.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

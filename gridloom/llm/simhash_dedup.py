@@ -10,6 +10,8 @@ discarded, and the survivors are verified bit by bit. No link is lost.
 Exact copies are one fingerprint before any of this. A set of equal coordinates with more than ``BLOCK`` fingerprints is compared
 block by block in separate tasks; what a set connects goes on as one pair a fingerprint, never as all pairs.
 
+The tables serve other radii too (``links`` with ``bits``): as many blocks as bits and three more, of which three are free of the differing bits.
+
 Defined results: a null or empty text has fingerprint zero, linked like any other; fewer than three words are one shingle; repeated
 rows are rows of their own with equal results; a row without id gets its component's smallest id and never lends one, and the filter
 keeps it; an empty table gives an empty result; other columns are ignored.
@@ -34,8 +36,8 @@ WORDS = 3
 #: Fingerprints link at this many differing bits or fewer.
 BITS = 3
 REFERENCES = 16
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-SHARED_BLOCKS = len(BLOCKS) - BITS
+#: Blocks of bits that are free of the differing ones.
+SHARED_BLOCKS = 3
 #: Fingerprints of one set that one task compares with as many others.
 BLOCK = 100
 
@@ -49,6 +51,32 @@ def references(n: int = REFERENCES) -> list[int]:
     return [xxhash.xxh64_intdigest(f"reference {i}".encode(), SEED) for i in range(n)]
 
 
+def blocks_for(bits: int) -> list[tuple[int, int]]:
+    """(first, width) of the blocks that leave SHARED_BLOCKS free of ``bits`` differing bits, as even as can be; none over 15 wide."""
+    width, wider = divmod(64, bits + SHARED_BLOCKS)
+    widths = [width + (i < wider) for i in range(bits + SHARED_BLOCKS)]
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        for part in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            counts += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+    return counts
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of some shingles' unsigned hashes."""
+    return _majority(_ones(hashes), len(hashes))
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     parts = (text or "").encode("utf-8", "replace").lower().split()  # both touch ASCII only: A-Z, and \x20 \x09-\x0D
     if not parts:
@@ -66,10 +94,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     for at in range(0, n, 1 << 16):
         s, e = starts[at : at + (1 << 16)], ends[at : at + (1 << 16)]
         hashes = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(s.tolist(), e.tolist())), dtype=np.uint64, count=len(s))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        for part in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            counts += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        counts += _ones(hashes)
+    return _majority(counts, n)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -101,33 +127,37 @@ def _table(fps: np.ndarray) -> np.ndarray:
     return np.stack([_popcount(fps ^ np.uint64(r)) for r in references()], axis=1).astype(np.int8)
 
 
-def _links_in(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links_in(fps: np.ndarray, radius: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect what the links of some distinct fingerprints connect."""
     table = _table(fps)
     near = np.ones((len(fps), len(fps)), dtype=bool)
     for j in range(table.shape[1]):
-        near &= np.abs(table[:, None, j] - table[None, :, j]) <= BITS
+        near &= np.abs(table[:, None, j] - table[None, :, j]) <= radius
     i, j = np.nonzero(near)
-    near[i, j] = (_popcount(fps[i] ^ fps[j]) <= BITS) & (i != j)
+    near[i, j] = (_popcount(fps[i] ^ fps[j]) <= radius) & (i != j)
     a, b = forest(near)
     return fps[a], fps[b]
 
 
-def _link_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_sets(radius: int):
     """Rows (key, i, j, fp) sorted by set (key, i, j); a set has at most 2 * BLOCK rows or a little more. Links out."""
-    held = np.empty((0, 4), dtype=np.int64)
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-        if len(rows) == 0:
-            continue
-        last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
-        cut = last[-1] + 1 if len(last) else 0
-        held = rows[cut:]
-        yield from _of_sets(rows[:cut])
-    yield from _of_sets(held)
-
-
-def _of_sets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), dtype=np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            if len(rows) == 0:
+                continue
+            last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+            cut = last[-1] + 1 if len(last) else 0
+            held = rows[cut:]
+            yield from _of_sets(rows[:cut], radius)
+        yield from _of_sets(held, radius)
+
+    return run
+
+
+def _of_sets(rows: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     if len(rows) < 2:
         return
     new = np.ones(len(rows), dtype=bool)
@@ -137,11 +167,11 @@ def _of_sets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     fps = rows[:, 3].view(np.uint64) if rows[:, 3].flags.c_contiguous else np.ascontiguousarray(rows[:, 3]).view(np.uint64)
     twos = starts[sizes == 2]  # most sets are pairs: all at once
     x, y = fps[twos], fps[twos + 1]
-    ok = (np.abs(_table(x) - _table(y)) <= BITS).all(axis=1)
-    ok[ok] = _popcount(x[ok] ^ y[ok]) <= BITS
+    ok = (np.abs(_table(x) - _table(y)) <= radius).all(axis=1)
+    ok[ok] = _popcount(x[ok] ^ y[ok]) <= radius
     a, b = [x[ok]], [y[ok]]
     for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-        p, q = _links_in(fps[s : s + n])
+        p, q = _links_in(fps[s : s + n], radius)
         a.append(p)
         b.append(q)
     a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
@@ -149,11 +179,11 @@ def _of_sets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """fps: distinct fp. Links (a, b) that connect all fingerprints of BITS or fewer differing bits."""
-    spark = fps.sparkSession
-    named = fps.select("fp", *[_coordinates(F.col("fp"), *b).alias(f"c{i}") for i, b in enumerate(BLOCKS)])
-    sets = combinations(range(len(BLOCKS)), SHARED_BLOCKS)
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """fps: distinct fp. Links (a, b) that connect all fingerprints of ``bits`` or fewer differing bits."""
+    spark, blocks = fps.sparkSession, blocks_for(bits)
+    named = fps.select("fp", *[_coordinates(F.col("fp"), *b).alias(f"c{i}") for i, b in enumerate(blocks)])
+    sets = combinations(range(len(blocks)), SHARED_BLOCKS)
     keys = [F.xxhash64(F.lit(k), *[F.col(f"c{i}") for i in s]) for k, s in enumerate(sets)]
     rows = named.select(F.explode(F.array(*keys)).alias("key"), "fp")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -162,7 +192,7 @@ def links(fps: DataFrame) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
     rows = rows.select("key", "fp", F.explode(others).alias("at")).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "fp")
     rows = rows.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_link_sets, "a long, b long")
+    return rows.mapInArrow(_link_sets(bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

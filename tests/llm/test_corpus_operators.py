@@ -159,6 +159,20 @@ def test_links_join_all_within_three_bits(spark, monkeypatch, block):
             assert (mine[i] == mine[j]) == (root(i) == root(j))
 
 
+def test_links_of_a_wider_radius_join_all_within_it(spark):
+    assert simhash_dedup.blocks_for(3) == [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+    rnd, fps = random.Random(3), []
+    for _ in range(200):
+        fps.append(rnd.getrandbits(64))
+        fps.append(fps[-1] ^ sum(1 << at for at in rnd.sample(range(64), rnd.randint(4, 6))))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = spark.createDataFrame([(s,) for s in signed], "fp long")
+    roots = {r.node: r.root for r in graph.components(simhash_dedup.links(found, 5)).collect()}
+    want = {(i, j) for i in range(400) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 5}
+    mine = [roots.get(s, s) for s in signed]
+    assert 100 < len(want) < 200 and {(i, j) for i in range(400) for j in range(i) if mine[i] == mine[j]} == want
+
+
 def test_near_groups_handle_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [base, base + " tail", None, "", "other words here", base, base]
@@ -225,6 +239,19 @@ def test_shingle_groups_handle_odd_rows(spark):
     assert not shingle_dedup.drop_near_copies(empty(spark)).collect()
 
 
+def test_shingle_groups_come_from_the_pivot_tables(spark, monkeypatch):
+    """With bands that no two different sets share, pairs within the radius are found and verified still; the others are not."""
+    monkeypatch.setattr(shingle_dedup, "bands", lambda hashes: np.array([hashes.sum()]))
+    texts = near_copies(4, 12, 6)
+    sims = [simhash_dedup.fingerprint_of(shingle_dedup.shingles(t).view(np.uint64)) for t in texts]
+    sets = [frozenset(shingle_dedup.shingles(t).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= shingle_dedup.RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_groups(docs_of(spark, texts)).collect()}
+    assert all(got[i] == got[j] for i, j in near) and len(set(got.values())) < len(set(sets))
+    all_pairs = plain_components(texts)
+    assert all(all_pairs[i] <= got[i] for i in got) and len(set(all_pairs)) < len(set(got.values()))
+
+
 def test_pipeline_drops_copies_of_five_word_similarity(spark):
     import corpus_pipeline
 
