@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import simhash_dedup
 from .graph import components
-from .shared import forget, keep, partitions, without_ids
+from .shared import forget, keep, partitions, unsized, without_ids
 
 SEED = 42
 WORDS = 5
@@ -198,7 +198,7 @@ def _links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similar
 def _shared(rows: DataFrame) -> DataFrame:
     """rows: distinct (key, fp, n). Those of keys that several classes have."""
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    return rows.join(several, "key")
+    return unsized(rows).join(several, "key")
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .shared import forget, keep, partitions, without_ids
+from .shared import forget, keep, partitions, unsized, without_ids
 
 SEED = 42
 WORDS = 3
@@ -185,7 +185,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     named = fps.select("fp", *[_coordinates(F.col("fp"), *b).alias(f"c{i}") for i, b in enumerate(blocks)])
     sets = combinations(range(len(blocks)), SHARED_BLOCKS)
     keys = [F.xxhash64(F.lit(k), *[F.col(f"c{i}") for i in s]) for k, s in enumerate(sets)]
-    rows = named.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    rows = unsized(named.select(F.explode(F.array(*keys)).alias("key"), "fp"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long"))

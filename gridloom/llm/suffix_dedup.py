@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from .deep_shallow import RangeMinimum, sort_groups
 from .piece_codec import _portions
-from .shared import forget, keep, partitions, release_shuffles, whole_row
+from .shared import forget, keep, partitions, release_shuffles, unsized, whole_row
 
 #: Bytes of a string that may not occur twice.
 SPAN = 400
@@ -402,7 +402,7 @@ def repeated_spans(docs: DataFrame, spans: tuple[int, ...] = (SPAN,)) -> DataFra
     runs = keep(runs.groupBy("h", "c").agg(F.sort_array(F.collect_set(F.struct("span", "from", "to"))).alias("runs")), "runs")
     release_shuffles(spark)
     # rows of a common context lie together after the join; each stands for up to PLACES spans, so they are dealt anew
-    at = found.join(runs, ["h", "c"]).select("places", "runs").repartition(partitions(spark)).mapInArrow(_text_spans, "t binary, span long, start long, end long").distinct()
+    at = found.join(unsized(runs), ["h", "c"]).select("places", "runs").repartition(partitions(spark)).mapInArrow(_text_spans, "t binary, span long, start long, end long").distinct()
     spans_of = keep(at.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("span", "start", "end"))).alias("spans")), "spans")
     forget(found, classes, open_, items, runs, *tables)
     release_shuffles(spark)
@@ -435,7 +435,7 @@ def _without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def _mapped(docs: DataFrame, spans: tuple[int, ...], made: str, row) -> DataFrame:
     """(doc, *made): doc holds all columns of ``docs``, made what ``row`` makes of a text's bytes and spans."""
     own = docs.select(whole_row(docs).alias("doc"), _known_by(_text()).alias("t"), F.encode(_text(), "UTF-8").alias("raw"))
-    both = own.join(repeated_spans(docs, spans), "t", "left").select("doc", "raw", "spans")
+    both = own.join(unsized(repeated_spans(docs, spans)), "t", "left").select("doc", "raw", "spans")
     more = StructType.fromDDL(made)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in more]
 

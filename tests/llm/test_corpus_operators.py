@@ -228,6 +228,17 @@ def test_links_across_find_what_no_leader_has(spark):
     assert {r.node: r.root for r in graph.components(found).collect()} == {3: 2, 4: 2}
 
 
+def test_no_join_of_exploded_or_packed_rows_is_broadcast_by_its_estimate(spark):
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    keyed = fps.select(F.explode(F.array(*[F.xxhash64("fp", F.lit(k)) for k in range(30)])).alias("key"), "fp", F.lit(1).alias("n"))
+    passage = " ".join(f"w{i}" for i in range(90))
+    cut = suffix_dedup.drop_repeats(docs_of(spark, [f"a {passage} b", f"c {passage} d", "e"]))
+    for rows in (simhash_dedup.links(fps), simhash_dedup.links(fps, shingle_dedup.RADIUS), shingle_dedup._shared(keyed), cut):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.text.replace(" ", "") for r in cut.collect()} == {"ab", "cd", "e"}
+
+
 def test_shingle_groups_handle_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     ids = [9, 4, 3, 8, 1, None, 4]
