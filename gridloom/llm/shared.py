@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.scratch import forget, keep, release_shuffles, shared_folder
+from gridloom.sources.scratch import forget, keep, release_shuffles, shared_folder, unsized
 
-__all__ = ["forget", "keep", "release_shuffles", "shared_folder"]
+__all__ = ["forget", "keep", "release_shuffles", "shared_folder", "unsized"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,6 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return as_before(docs, own.join(gone, "gone_id", "left_anti"))
 
 
-def unsized(rows: DataFrame) -> DataFrame:
-    """Rows that Spark takes for far less than they are, as those an explode makes or a file that packs well: joins with them sort both sides and broadcast neither."""
-    return rows.hint("merge")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

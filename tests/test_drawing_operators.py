@@ -550,3 +550,16 @@ def test_names_and_settings(spark, tmp_path):
     assert store.copy_files("a", "b") == len(store.files("a")) and store.load("b", 1).count() == 3 and store.files("none") == []
     failed = store.save_each({"good": (spark.range(2), "x/good"), "bad": (spark.range(1).select(F.raise_error(F.lit("no")).alias("c")), "x/bad"), "last": (spark.range(1), "x/last")})
     assert list(failed) == ["bad"] and spark.read.parquet(f"{tmp_path}/store/x/last").count() == 1
+
+
+def test_the_matcher_broadcasts_no_table_by_its_files_size(spark):
+    from gridloom.plans import extraction
+
+    names = spark.createDataFrame([(0, 1, "MCC-01"), (0, 2, "MCC-02"), (1, 1, "HV-03")], "page long, ord long, name string")
+    lines = spark.createDataFrame([(0, 1, "MCC-01", 0, 0, 80, 20), (0, 2, "mcc02", 300, 300, 380, 320), (1, 1, "HV-03", 0, 0, 80, 20)], "page long, ord long, content string, x1 long, y1 long, x2 long, y2 long")
+    tiles = spark.createDataFrame([(p, 0, 0, 0, 900, 900) for p in (0, 1)], "page long, tile long, x1 long, y1 long, x2 long, y2 long")
+    found = extraction.matches(names, lines, tiles)
+    for rows in (found, matching.all_pass_matches(names, lines)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.page, r.name, r.x1) for r in found.collect()} == {(0, "MCC-01", 0), (0, "MCC-02", 300), (1, "HV-03", 0)}
